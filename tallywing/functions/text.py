@@ -12,12 +12,14 @@ from pyspark.sql import types as T
 MONEY_NAME = re.compile("amount|value|total|sum|credit|debit|inr|revenue|cost", re.IGNORECASE)
 DASH = "—"
 RUPEE = "₹"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WHITESPACE = " \t\n\r\f\v"
 
 
 def coalesce_number(col: Column) -> Column:
-    """Anything that is not a number counts as 0."""
-    return F.coalesce(F.nanvl(col.try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    """The value of a decimal number or its text; anything else counts as 0."""
+    text = strip(col.cast("string"))
+    return F.coalesce(F.when(text.rlike(NUMBER), text.try_cast("double")), F.lit(0.0))
 
 
 def format_inr(col: Column, name: str = "") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -20,7 +21,7 @@ def lookup(fact: DataFrame, dimension: DataFrame, key: str, how: str = "inner")
 
 
 def dictionary_lookup(df: DataFrame, dictionary: DataFrame, columns: list[str], bound: int = 10_000) -> DataFrame:
-    """Replace each listed column by its code from `(column, value, code)`; unknown gives 0.
+    """Add `<column>_code` for each listed column from `(column, value, code)`; unknown gives 0.
 
     The dictionary is broadcast only when counted to hold at most `bound` rows;
     beyond that the planner chooses the join.
@@ -29,12 +30,11 @@ def dictionary_lookup(df: DataFrame, dictionary: DataFrame, columns: list[str],
     out = df
     for c in columns:
         codes = dictionary.filter(F.col("column") == c).select(
-            F.col("value").alias(c), F.col("code").alias(f"{c}__code")
+            F.col("value").alias("__value"), F.col("code").alias(f"{c}_code")
         )
-        out = out.join(F.broadcast(codes) if small else codes, c, "left")
-    return out.withColumns({c: F.coalesce(F.col(f"{c}__code"), F.lit(0)) for c in columns}).drop(
-        *[f"{c}__code" for c in columns]
-    )
+        codes = F.broadcast(codes) if small else codes
+        out = out.join(codes, F.col(c).cast("string") == F.col("__value"), "left").drop("__value")
+    return out.withColumns({f"{c}_code": F.coalesce(f"{c}_code", F.lit(0)) for c in columns})
 
 
 def cascade_delete(
@@ -59,31 +59,33 @@ def carry_forward(
     value: Column,
     name: str,
     span: int = 1024,
+    levels: int = 2,
 ) -> DataFrame:
     """The latest non-NULL `value` at a strictly smaller `order` within each key.
 
     Each key is cut into stretches of `span` order units, so that a key with very
     many rows is spread over tasks. Within a stretch a window finds the value; one
-    row per stretch carries the last value into the stretches that follow.
+    row per stretch carries the last value into the stretches that follow, which is
+    the same problem on a `span`-th of the rows and is solved the same way.
     `order` must be a whole number and unique within a key.
     """
-    from pyspark.sql import Window as W
-
-    stretch, inside, latest, carried = "__stretch", "__inside", "__latest", "__carried"
-    cut = df.withColumn(stretch, F.floor(F.col(order) / F.lit(span))).withColumn("__value", value)
+    found = df.withColumn("__value", value)
+    if levels == 0:
+        w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return found.withColumn(name, F.last("__value", ignorenulls=True).over(w)).drop("__value")
+    stretch, carried = f"__stretch{levels}", f"__carried{levels}"
+    cut = found.withColumn(stretch, F.expr(f"`{order}` div {span}"))
     within = W.partitionBy(*keys, stretch).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    local = cut.withColumn(inside, F.last("__value", ignorenulls=True).over(within))
+    local = cut.withColumn("__inside", F.last("__value", ignorenulls=True).over(within))
     ends = cut.groupBy(*keys, stretch).agg(
-        F.max_by(F.col("__value"), F.when(F.col("__value").isNotNull(), F.col(order))).alias(latest)
+        F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("__latest")
     )
-    across = W.partitionBy(*keys).orderBy(stretch).rowsBetween(W.unboundedPreceding, -1)
-    starts = ends.select(
-        *keys, stretch, F.last(latest, ignorenulls=True).over(across).alias(carried)
-    ).filter(F.col(carried).isNotNull())
+    starts = carry_forward(ends, keys, stretch, F.col("__latest"), carried, span, levels - 1)
+    starts = starts.filter(F.col(carried).isNotNull()).drop("__latest")
     return (
         local.join(starts, [*keys, stretch], "left")
-        .withColumn(name, F.coalesce(inside, carried))
-        .drop(stretch, inside, carried, "__value")
+        .withColumn(name, F.coalesce("__inside", carried))
+        .drop(stretch, "__inside", carried, "__value")
     )
 
 
