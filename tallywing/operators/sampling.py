@@ -29,7 +29,9 @@ def stratified_split(
     hashed = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
     rows = df.select(F.col(label).alias("y"), F.col(key).alias("k"), hashed.alias("h"))
     rows = rows.withColumn("bin", F.substring("h", 1, BIN_DIGITS))
-    cuts = _cut_bins(rows.groupBy("y", "bin").agg(F.count("*").alias("c")), test_share)
+    bins = rows.groupBy("y", "bin").agg(F.count("*").alias("c")).persist()
+    cuts = _cut_bins(bins, test_share)
+    bins.unpersist()
     found = {c["y"]: c for c in cuts}
     last = {}
     if found:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "benchmark", "dashboard", "columns", "rules", "logs", "models"]
+MODULES = ["corpus", "benchmark", "dashboard", "columns", "rules", "logs", "models", "forecasts"]
 
 
 def load_registry():
