@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "benchmark", "dashboard", "columns", "rules", "logs", "models", "forecasts"]
+MODULES = [
+    "corpus", "benchmark", "dashboard", "columns", "rules", "logs", "models", "forecasts", "tables", "search", "streams",
+]
 
 
 def load_registry():
