@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,42 +61,37 @@ def value_counts_of(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def running_totals(
-    hist: DataFrame, value: str, amounts: list[str], widths: list[float], within: list[str] | None = None
-) -> DataFrame:
-    """For each distinct `value`, the totals of `amounts` over all smaller values.
+def running_totals(hist: DataFrame, value: str, amount: str, widths: list[float], name: str = "before") -> DataFrame:
+    """For each distinct `value`, the total of `amount` over all smaller values.
 
-    `hist` holds one row per value (and per `within` group). Values are binned by
-    the falling `widths`; each level runs a window inside the bins of the level
-    above, so no window has to sort more rows than one bin holds. Results are the
-    columns `before_<amount>`.
+    `hist` holds one row per value. Values are binned by the falling `widths`, each
+    a part of the one before. The totals of the widest bins are few and are summed
+    up in one window; every further level is summed up inside the bins of the level
+    above and starts from their total, so no window sorts more than one bin. The
+    values themselves meet only the totals of the narrowest bins, by which their
+    window has already arranged them.
     """
-    keys = list(within or [])
     bins = [f"__bin{i}" for i in range(len(widths))]
-    cut = hist.withColumns({b: F.floor(F.col(value) / F.lit(w)) for b, w in zip(bins, widths)})
-    levels = []
-    for i in range(len(bins)):
-        by = [*keys, *bins[: i + 1]]
-        totals = cut.groupBy(*by).agg(*[F.sum(a).alias(a) for a in amounts])
-        window = W.partitionBy(*keys, *bins[:i]).orderBy(bins[i]).rowsBetween(W.unboundedPreceding, -1)
-        levels.append(
-            totals.select(
-                *by, *[F.coalesce(F.sum(a).over(window), F.lit(0)).alias(f"__l{i}_{a}") for a in amounts]
-            )
-        )
-    window = W.partitionBy(*keys, *bins).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    out = cut.withColumns({f"__in_{a}": F.coalesce(F.sum(a).over(window), F.lit(0)) for a in amounts})
-    for i in reversed(range(len(bins))):
-        out = out.join(levels[i], [*keys, *bins[: i + 1]])
-    return out.select(
-        *hist.columns,
-        *[
-            reduce(
-                lambda x, y: x + y, [F.col(f"__l{i}_{a}") for i in range(len(bins))], F.col(f"__in_{a}")
-            ).alias(f"before_{a}")
-            for a in amounts
-        ],
-    )
+    # Bins that cannot be NULL: the joins then add no filter of their own below the
+    # shuffle, and all levels share the one that builds `hist`.
+    cut = hist.withColumns({
+        b: F.coalesce(F.floor(F.col(value) / F.lit(w)), F.lit(-1)) for b, w in zip(bins, widths)
+    })
+
+    def preceding(column: str, by: list[str], order: str) -> Column:
+        w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(w), F.lit(0))
+
+    offsets = None
+    for i, b in enumerate(bins):
+        totals = cut.groupBy(*bins[: i + 1]).agg(F.sum(amount).alias("__total"))
+        start = totals.withColumn("__start", preceding("__total", bins[:i], b)).drop("__total")
+        if offsets is not None:
+            above = offsets.withColumnRenamed("__start", "__above")
+            start = start.join(above, bins[:i]).withColumn("__start", F.col("__start") + F.col("__above")).drop("__above")
+        offsets = start
+    inside = cut.withColumn("__inside", preceding(amount, bins, value))
+    return inside.join(offsets, bins).select(*hist.columns, (F.col("__start") + F.col("__inside")).alias(name))
 
 
 def upper_median(df: DataFrame, column: str, name: str = "median") -> DataFrame:
@@ -108,9 +101,9 @@ def upper_median(df: DataFrame, column: str, name: str = "median") -> DataFrame:
     """
     hist = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     total = hist.agg(F.sum("n")).scalar()
-    placed = running_totals(hist, column, ["n"], [65536])
+    placed = running_totals(hist, column, "n", [65536])
     target = F.floor(total / F.lit(2))
-    return placed.filter((F.col("before_n") <= target) & (F.col("before_n") + F.col("n") > target)).select(
+    return placed.filter((F.col("before") <= target) & (F.col("before") + F.col("n") > target)).select(
         F.col(column).alias(name)
     )
 

@@ -23,8 +23,9 @@ from tallywing.operators.fraud_model import FraudModel
 from tallywing.operators.ranking import hash_sample
 from tallywing.session import scratch_path
 
-# Largest model whose leaf tables are sent to every executor.
+# Largest model whose nodes are read and whose leaf tables are sent to every executor.
 MAX_NODES = 200_000
+MAX_TABLE_BYTES = 512 * 1024 * 1024
 
 
 @dataclass
@@ -81,7 +82,7 @@ def leaf_tables(nodes: pd.DataFrame, tree_weights: list[float]) -> tuple[list[Le
 
     A boosted score s stands for log-odds 2s.
     """
-    leaves, base = [], 0.0
+    leaves, base, size = [], 0.0, 0
     for tree, group in nodes.groupby("tree"):
         rows = {n.id: n for n in group.itertuples(index=False)}
         stack = [(rows[0], {})]
@@ -92,6 +93,9 @@ def leaf_tables(nodes: pd.DataFrame, tree_weights: list[float]) -> tuple[list[Le
                 shares = np.array([p[2] for p in path.values()])
                 base += value * (shares.prod() if path else 1.0)
                 if path:
+                    size += 8 * len(path) * 2 ** len(path)
+                    if size > MAX_TABLE_BYTES:
+                        raise ValueError("the trees are too deep or too many for leaf tables")
                     low, high = (np.array([p[i] for p in path.values()]) for i in (0, 1))
                     leaves.append(Leaf(np.array(list(path)), low, high, shapley_table(shares, value)))
                 continue

@@ -75,6 +75,10 @@ def train_fraud(
         *INPUTS, F.col(S.TARGET_COLUMN).cast("double").alias("label")
     ).write.parquet(f"{path}/rows")
     encoded = spark.read.parquet(f"{path}/rows")
+    cores = spark.sparkContext.defaultParallelism
+    if len(encoded.inputFiles()) < cores:
+        # Few files: let every core take part in each pass.
+        encoded = encoded.repartition(cores)
     weight = class_weight(encoded, "label").first()["weight"]
     weighted = encoded.withColumn(
         "weight", F.when(F.col("label") == 1, F.lit(float(weight or 1.0))).otherwise(F.lit(1.0))

@@ -60,15 +60,21 @@ def class_report(matrix: DataFrame) -> DataFrame:
 
 
 def score_counts(scored: DataFrame, label: str, score: str, *more: str) -> DataFrame:
-    """Negatives and positives per distinct score; everything else is computed from these."""
-    return scored.groupBy(F.col(score).alias("score"), *more).agg(
-        F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")
-    )
+    """Rows per distinct score and label.
+
+    Every figure is computed from this frame. All of them need all of its columns,
+    so the plan reads the scored rows once and reuses the shuffle.
+    """
+    return scored.groupBy(F.col(score).alias("score"), F.col(label).alias("label"), *more).agg(F.count("*").alias("n"))
 
 
-def _auc(hist: DataFrame) -> DataFrame:
-    ranked = running_totals(hist, "score", ["neg"], SCORE_BINS)
-    pairs = F.col("pos") * (F.col("before_neg") + F.col("neg") / F.lit(2.0))
+def _auc(counts: DataFrame) -> DataFrame:
+    def of(label: int) -> Column:
+        return F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+
+    hist = counts.groupBy("score").agg(of(0).alias("neg"), of(1).alias("pos"))
+    ranked = running_totals(hist, "score", "neg", SCORE_BINS)
+    pairs = F.col("pos") * (F.col("before") + F.col("neg") / F.lit(2.0))
     return ranked.agg(
         F.round(F.try_divide(F.sum(pairs), F.sum("neg").cast("double") * F.sum("pos")), 4).alias("auc_roc")
     )
@@ -85,26 +91,22 @@ def auc_roc(scored: DataFrame, label: str = "label", score: str = "score") -> Da
 def eval_report(
     scored: DataFrame, label: str = "label", predicted: str = "predicted", score: str = "score"
 ) -> DataFrame:
-    """One row: AUC, precision, recall, F1, the confusion counts, test size and fraud rate.
-
-    The scored rows are read once; all figures come from the counts per score.
-    """
-    hist = score_counts(scored, label, score, predicted)
-    said = F.col(predicted) == 1
+    """One row: AUC, precision, recall, F1, the confusion counts, test size and fraud rate."""
+    counts = score_counts(scored, label, score, predicted)
+    said, positive, n = F.col(predicted) == 1, F.col("label") == 1, F.col("n")
     total = {
-        "true_negatives": F.when(~said, F.col("neg")),
-        "false_positives": F.when(said, F.col("neg")),
-        "false_negatives": F.when(~said, F.col("pos")),
-        "true_positives": F.when(said, F.col("pos")),
-        "test_size": F.col("neg") + F.col("pos"),
-        "positives": F.col("pos"),
+        "true_negatives": F.when(~positive & ~said, n),
+        "false_positives": F.when(~positive & said, n),
+        "false_negatives": F.when(positive & ~said, n),
+        "true_positives": F.when(positive & said, n),
+        "test_size": n,
+        "positives": F.when(positive, n),
     }
-    counts = hist.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in total.items()])
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in total.items()])
     rate = F.round(F.try_divide(F.col("positives").cast("double"), F.col("test_size")) * F.lit(100.0), 2)
-    per_score = hist.groupBy("score").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     return (
-        precision_recall_f1(counts)
+        precision_recall_f1(sums)
         .withColumn("fraud_rate_test", rate)
-        .withColumn("auc_roc", _auc(per_score).scalar())
+        .withColumn("auc_roc", _auc(counts).scalar())
         .drop("positives")
     )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallywing.operators.joins import union_by_name
@@ -41,11 +41,8 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -sims[keep]))][:k]
 
 
-def _nearest_block(queries: DataFrame, corpus: DataFrame, k: int, limit: int) -> DataFrame:
-    """One pass over the corpus for at most `limit` queries."""
-    rows = queries.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} queries in a block")
+def _nearest_block(rows: list[Row], queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """One pass over the corpus for a block of queries."""
     names = [r[0] for r in rows]
     matrix = _unit(np.array([r[1] for r in rows], dtype=float)) if rows else np.zeros((0, 1))
     shared = queries.sparkSession.sparkContext.broadcast((names, matrix))
@@ -83,15 +80,19 @@ def nearest_examples(queries: DataFrame, corpus: DataFrame, k: int, block: int =
     blocks of a fixed size, so their number is not bounded by memory; each block
     costs one pass over the corpus.
     """
-    n = queries.count()
-    if n <= block:
-        return _nearest_block(queries, corpus, k, block)
+    rows = queries.limit(block + 1).collect()
+    if len(rows) <= block:
+        return _nearest_block(rows, queries, corpus, k)
     # Twice as many parts as full blocks leaves room for uneven hashing.
-    parts = 2 * -(-n // block)
+    parts = 2 * -(-queries.count() // block)
     part = F.pmod(F.xxhash64(queries.columns[0]), F.lit(parts))
-    return union_by_name(
-        *[_nearest_block(queries.filter(part == i), corpus, k, block) for i in range(parts)]
-    )
+    found = []
+    for i in range(parts):
+        rows = queries.filter(part == i).limit(block + 1).collect()
+        if len(rows) > block:
+            raise ValueError("the query ids hash too unevenly; choose a larger block")
+        found.append(_nearest_block(rows, queries, corpus, k))
+    return union_by_name(*found)
 
 
 def question_features(

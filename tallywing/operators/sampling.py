@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,37 +31,38 @@ def stratified_split(
     bins = rows.groupBy("y", "bin").agg(F.count("*").alias("c")).persist()
     cuts = _cut_bins(bins, test_share)
     bins.unpersist()
-    found = {c["y"]: c for c in cuts}
-    last = {}
-    if found:
-        here = reduce(
-            lambda a, b: a | b, [(F.col("y") == F.lit(y)) & (F.col("bin") == c["bin"]) for y, c in found.items()]
-        )
-        ranked = first_rank(rows.filter(here), {y: c["quota"] - c["below"] for y, c in found.items()})
-        last = {r["y"]: r for r in ranked.collect()}
-    is_test = F.lit(True)
-    for y, r in last.items():
-        beyond = (hashed > r["h"]) | ((hashed == r["h"]) & (F.col(key) > F.lit(r["k"])))
-        is_test = F.when(F.col(label) == F.lit(y), beyond).otherwise(is_test)
-    return df.withColumn("is_test", is_test)
-
-
-def first_rank(rows: DataFrame, ranks: dict) -> DataFrame:
-    """The row at the given rank of each class, by hash and key."""
-    position = F.row_number().over(W.partitionBy("y").orderBy("h", "k"))
-    wanted = F.lit(None).cast("long")
-    for y, n in ranks.items():
-        wanted = F.when(F.col("y") == F.lit(y), F.lit(n)).otherwise(wanted)
-    return rows.withColumn("__rank", position).filter(F.col("__rank") == wanted).select("y", "h", "k")
-
-
-def _cut_bins(bins: DataFrame, test_share: float) -> list:
+    # A class without training rows has no cut: all of it is test.
+    last = _last_training_rows(rows, cuts) if cuts else []
+    if not last:
+        return df.withColumn("is_test", F.lit(True))
+    kind = df.schema[key].dataType
+    edge = _by_class({r["y"]: F.struct(F.lit(r["h"]).alias("h"), F.lit(r["k"]).cast(kind).alias("k")) for r in last})
+    place = F.struct(hashed.alias("h"), F.col(key).alias("k"))
+    return df.withColumn("is_test", F.coalesce(place > F.try_element_at(edge, F.col(label)), F.lit(True)))
+
+
+def _by_class(values: dict) -> Column:
+    """A literal map from class to value."""
+    return F.create_map(*[c for y, v in values.items() for c in (F.lit(y), v)])
+
+
+def _last_training_rows(rows: DataFrame, cuts: list[Row]) -> list[Row]:
+    """Per class the row at the end of its training quota, from the rows of its cut bin."""
+    bins = _by_class({c["y"]: F.lit(c["bin"]) for c in cuts})
+    ranks = _by_class({c["y"]: F.lit(c["quota"] - c["below"]) for c in cuts})
+    rank = F.row_number().over(W.partitionBy("y").orderBy("h", "k"))
+    edge = rows.filter(F.col("bin") == F.try_element_at(bins, F.col("y"))).withColumn("__rank", rank)
+    return edge.filter(F.col("__rank") == F.try_element_at(ranks, F.col("y"))).select("y", "h", "k").collect()
+
+
+def _cut_bins(bins: DataFrame, test_share: float) -> list[Row]:
     """Per class, the bin in which its training quota is reached and the rows below it.
 
     A class without training rows has no cut.
     """
     running = W.partitionBy("y").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    sizes = {r["y"]: r["n"] for r in bins.groupBy("y").agg(F.sum("c").alias("n")).limit(MAX_CLASSES + 1).collect()}
+    by_class = bins.filter("y IS NOT NULL").groupBy("y").agg(F.sum("c").alias("n"))
+    sizes = {r["y"]: r["n"] for r in by_class.limit(MAX_CLASSES + 1).collect()}
     if len(sizes) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     total = sum(sizes.values())
@@ -71,9 +71,9 @@ def _cut_bins(bins: DataFrame, test_share: float) -> list:
     by_rest = sorted(sizes, key=lambda y: (-(sizes[y] * train % total), y))
     for y in by_rest[: train - sum(quota.values())]:
         quota[y] += 1
-    wanted = F.lit(None).cast("long")
-    for y, n in quota.items():
-        wanted = F.when(F.col("y") == F.lit(y), F.lit(n)).otherwise(wanted)
+    if not quota:
+        return []
+    wanted = F.try_element_at(_by_class({y: F.lit(n) for y, n in quota.items()}), F.col("y"))
     placed = bins.withColumn("below", F.coalesce(F.sum("c").over(running), F.lit(0))).withColumn("quota", wanted)
     reached = (F.col("below") < F.col("quota")) & (F.col("below") + F.col("c") >= F.col("quota"))
     return placed.filter(reached).collect()

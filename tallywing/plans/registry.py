@@ -33,6 +33,18 @@ def register(name: str, oracle: str | None = None) -> Callable[[Build], Build]:
     return wrap
 
 
+# The fact frames already planned, by session and arguments. Only the plan and the
+# file listing are kept, no rows.
+_FRAMES: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
+def fact_frame(spark: SparkSession, sf_dir: str, state: bool, event_time: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, state, event_time)
+    if key not in _FRAMES:
+        _FRAMES[key] = (spark, transactions(spark, sf_dir, state, event_time))
+    return _FRAMES[key][1]
+
+
 def on_transactions(
     name: str, oracle: str | None = None, state: bool = False, event_time: str = "spread", **params
 ):
@@ -44,7 +56,7 @@ def on_transactions(
 
     def wrap(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         register(name, oracle and with_transactions(oracle, event_time))(
-            lambda spark, sf_dir: build(transactions(spark, sf_dir, state, event_time), **params)
+            lambda spark, sf_dir: build(fact_frame(spark, sf_dir, state, event_time), **params)
         )
         return build
 

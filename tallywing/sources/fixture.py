@@ -38,7 +38,7 @@ def derive_transactions(events: DataFrame, event_time: str = "spread") -> DataFr
         "event_type",
         F.floor(F.col("value") * 100).cast("int").alias("amount_inr"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.expr(f"{ts} - make_dt_interval(0, 0, 0, extract(SECOND FROM ts) % 1)").alias("timestamp"),
+        F.expr(ts).alias("timestamp"),
     )
     k, m, n = F.col("k"), e % 20, (e * 7 + u) % 20
     p2p = F.col("transaction_type") == "P2P"
@@ -109,7 +109,7 @@ def _case_label(group: str) -> str:
 
 def _fact_cte(name: str, ts: str) -> str:
     return f"""{name}_base AS (
-  SELECT e.*, date_trunc('second', {ts}) AS t2, c.c_nationkey AS nk,
+  SELECT e.*, {ts} AS t2, c.c_nationkey AS nk,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
          CASE WHEN event_id % 20 < 7 THEN 'P2P' WHEN event_id % 20 < 14 THEN 'P2M'
               WHEN event_id % 20 < 18 THEN 'Bill Payment' ELSE 'Recharge' END AS tt,

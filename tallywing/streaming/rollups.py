@@ -143,6 +143,8 @@ def run_available(stream: DataFrame, keys: list[str] | None = None) -> DataFrame
         def upsert(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+        # An empty first folder stands for a stream that gave nothing.
+        spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
         query = writer.outputMode("update").foreachBatch(upsert).start()
     query.awaitTermination()
     if keys is None:
