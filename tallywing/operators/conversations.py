@@ -24,7 +24,8 @@ def sessions_rollup(
     """One row per session: title from its first user message, first and last activity, size."""
     asked_at = F.when(F.col("role") == USER, F.col(at))
     return messages.groupBy(session).agg(
-        F.coalesce(truncate_title(F.min_by(text, asked_at)), F.lit(DEFAULT_TITLE)).alias("title"),
+        # Cut before the aggregation: only the short form is sorted and shuffled.
+        F.coalesce(F.min_by(truncate_title(F.col(text)), asked_at), F.lit(DEFAULT_TITLE)).alias("title"),
         F.min(at).alias("created_at"),
         F.max(at).alias("updated_at"),
         F.count("*").alias("messages"),

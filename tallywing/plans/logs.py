@@ -293,19 +293,17 @@ def r01_share_of_total(t: DataFrame) -> DataFrame:
 
 @register(
     "r02_report_sections",
-    """SELECT conv_id AS item, turn AS position, kind,
-              CASE kind WHEN 'kpi' THEN 'kpi' WHEN 'pie' THEN 'grid' WHEN 'line' THEN 'grid' ELSE 'full_width' END AS section
-       FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r,
-                    list_extract(['kpi', 'pie', 'line', 'bar', 'table', 'text'], CAST(conv_id % 6 + 1 AS INTEGER)) AS kind
-             FROM conversations) WHERE kind <> 'text' AND (kind <> 'table' OR r <= 8)""",
+    """SELECT role AS item, conv_id * 1000 + turn AS position,
+              CASE role WHEN 'user' THEN 'table' WHEN 'assistant' THEN 'line' ELSE 'kpi' END AS kind,
+              CASE role WHEN 'user' THEN 'full_width' WHEN 'assistant' THEN 'grid' ELSE 'kpi' END AS section
+       FROM conversations QUALIFY role <> 'user' OR row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) <= 8""",
 )
 def r02_report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions as report items and their messages as rows; the kind goes by session number."""
-    from tallywing.functions.features import pick
-
-    kinds = pick(["kpi", "pie", "line", "bar", "table", "text"], F.col("conv_id") % 6)
+    """One item per role, with all its messages as rows: a table, a line and a figure."""
+    role = F.col("role")
+    kind = F.when(role == "user", "table").when(role == "assistant", "line").otherwise("kpi")
     items = messages_of(spark, sf_dir).select(
-        F.col("conv_id").alias("item"), F.col("turn").alias("position"), kinds.alias("kind")
+        role.alias("item"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"), kind.alias("kind")
     )
     return R.report_sections(items)
 

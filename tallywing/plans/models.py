@@ -11,7 +11,7 @@ from tallywing.operators import attribution as A
 from tallywing.operators import fraud_model as M
 from tallywing.operators import metrics as ME
 from tallywing.operators.joins import dictionary_lookup
-from tallywing.operators.sampling import class_weight, fit_label_encoder, stratified_split
+from tallywing.operators.sampling import class_weight, fit_label_encoder, quick_split, stratified_split
 from tallywing.plans.corpus import rows
 from tallywing.plans.registry import on_transactions, register
 from tallywing.session import scratch_path
@@ -72,6 +72,16 @@ def fm03_stratified_split(t: DataFrame) -> DataFrame:
     return stratified_split(t.select("transaction_id", "fraud_flag"), "fraud_flag", "transaction_id")
 
 
+@on_transactions(
+    "fm03_quick_split",
+    """SELECT fraud_flag, CAST('0x' || left(md5(transaction_id || '#42'), 8) AS UBIGINT) / 4294967296e0 < 0.2e0 AS is_test,
+              count(*) AS count FROM transactions GROUP BY 1, 2""",
+)
+def fm03_quick_split(t: DataFrame) -> DataFrame:
+    """Sizes of the approximate split."""
+    return quick_split(t, "transaction_id").groupBy("fraud_flag", "is_test").agg(rows())
+
+
 @on_transactions(
     "fm04_class_weight",
     """SELECT count(*) FILTER (WHERE fraud_flag = 0) AS negatives, count(*) FILTER (WHERE fraud_flag = 1) AS positives,
