@@ -20,11 +20,17 @@ EVENT_TIME = "event_time"
 
 
 def stream_events(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(S.EVENTS).option("pathGlobFilter", "events*.parquet")
+    """The events as they arrive; the table is one file or a folder of files.
+
+    Zone-less times cannot carry a watermark, so `event_time` reads them in the
+    session's zone, which should be UTC.
+    """
+    reader = spark.readStream.schema(S.EVENTS)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    # Zone-less times cannot carry a watermark.
-    return reader.parquet(sf_dir).withColumn(EVENT_TIME, F.col("ts").cast("timestamp"))
+    # A pattern, because a plain path would have to be a folder.
+    events = reader.parquet(f"{sf_dir}/events.parquet*")
+    return events.withColumn(EVENT_TIME, F.col("ts").cast("timestamp"))
 
 
 def stream_transactions(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
