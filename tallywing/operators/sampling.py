@@ -51,8 +51,12 @@ def _last_training_rows(rows: DataFrame, cuts: list[Row]) -> list[Row]:
     bins = _by_class({c["y"]: F.lit(c["bin"]) for c in cuts})
     ranks = _by_class({c["y"]: F.lit(c["quota"] - c["below"]) for c in cuts})
     rank = F.row_number().over(W.partitionBy("y").orderBy("h", "k"))
-    edge = rows.filter(F.col("bin") == F.try_element_at(bins, F.col("y"))).withColumn("__rank", rank)
-    return edge.filter(F.col("__rank") == F.try_element_at(ranks, F.col("y"))).select("y", "h", "k").collect()
+    # The hash alone rules out nearly every row before the label has to be computed;
+    # null-safe tests keep the planner from adding label tests in front of it.
+    near = rows.filter(F.col("bin").isin([c["bin"] for c in cuts]))
+    edge = near.filter(F.col("bin").eqNullSafe(F.try_element_at(bins, F.col("y")))).withColumn("__rank", rank)
+    last = edge.filter(F.col("__rank").eqNullSafe(F.try_element_at(ranks, F.col("y"))))
+    return last.select("y", "h", "k").collect()
 
 
 def _cut_bins(bins: DataFrame, test_share: float) -> list[Row]:
