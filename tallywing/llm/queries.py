@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import packing, quality, sharding
+from tallywing.llm import lines, packing, quality, sharding
 from tallywing.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,40 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+# Line dedup in DuckDB: the same cuts and the same keeper, chunks compared by their text from the start.
+LINES_SQL = """
+WITH line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i,
+         len(string_split(text, chr(10))) AS n
+  FROM documents WHERE text IS NOT NULL
+), hashed AS (
+  SELECT *, CAST('0x' || substr(md5(l), 1, 8) AS BIGINT) AS h FROM line
+), marked AS (
+  SELECT *, ((coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 1000003 + h) % 2147483647) % 2 = 0 AS mark FROM hashed
+), cut AS (
+  SELECT *, i >= 1 AND i <= n - 3 AND mark AND NOT lag(mark) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM marked
+), numbered AS (
+  SELECT *, coalesce(sum(CAST(last AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+  FROM cut
+), chunk AS (
+  SELECT doc_id, k, string_agg(l, chr(10) ORDER BY i) AS chunk, count(*) AS size FROM numbered GROUP BY doc_id, k
+), judged AS (
+  SELECT *, size > 1 AND regexp_matches(chunk, '[^\\s]')
+            AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone
+  FROM chunk
+)
+SELECT doc_id, CAST(sum(size) AS BIGINT) AS n_lines, CAST(coalesce(sum(size) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines,
+       CAST(count(*) FILTER (WHERE gone) AS INT) AS removed_chunks,
+       md5(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS text_md5
+FROM judged GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
+@query("op2_line_dedup", LINES_SQL)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines removed from every document, and a digest of the text that stays."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "removed_lines", "removed_chunks", F.md5("text").alias("text_md5"))
