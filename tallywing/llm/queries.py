@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import lines, packing, quality, sharding
+from tallywing.llm import decontaminate, lines, packing, quality, sharding
 from tallywing.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,44 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines removed from every document, and a digest of the text that stays."""
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "removed_lines", "removed_chunks", F.md5("text").alias("text_md5"))
+
+
+# Decontamination in DuckDB: the same windows, compared exactly without fingerprints.
+DECONTAMINATE_SQL = """
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), item AS (
+  SELECT *, len(w) AS n, least(5, len(w)) AS k FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0
+), item_gram AS (
+  SELECT item_id, n, k, place, list_slice(w, place + 1, place + k) AS gram
+  FROM (SELECT *, unnest(range(0, n - k + 1)) AS place FROM item)
+), doc_gram AS (
+  SELECT doc_id, k, pos, list_slice(w, pos + 1, pos + k) AS gram
+  FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS pos FROM doc, (SELECT DISTINCT k FROM item))
+), win AS (
+  SELECT DISTINCT d.doc_id, g.item_id, g.n, g.k, d.pos - g.place AS start FROM doc_gram d JOIN item_gram g USING (k, gram)
+), cut AS (
+  SELECT win.*, list_slice(w, greatest(start, 0) + 1, n + start) AS ww FROM win JOIN doc USING (doc_id)
+), counted AS (
+  SELECT doc_id, item_id, start, len(ww) - k + 1 AS size, list_slice(ww, p + 1, p + k) AS gram, count(*) AS c
+  FROM (SELECT *, unnest(range(0, len(ww) - k + 1)) AS p FROM cut) GROUP BY ALL
+), item_counted AS (
+  SELECT item_id, n - k + 1 AS item_size, gram, count(*) AS ic FROM item_gram GROUP BY ALL
+), both_sides AS (
+  SELECT doc_id, item_id, start, size + item_size AS sizes, CAST(sum(least(c, ic)) AS BIGINT) AS shared
+  FROM counted JOIN item_counted USING (item_id, gram) GROUP BY doc_id, item_id, start, size, item_size
+)
+SELECT doc_id, item_id, CAST(greatest(start, 0) AS INT) AS start, shared, CAST(sizes - shared AS BIGINT) AS total
+FROM both_sides WHERE shared * 100 >= (sizes - shared) * 75
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / (sizes - shared) DESC, greatest(start, 0)) = 1
+"""
+
+
+@query("op10_decontaminate", DECONTAMINATE_SQL)
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's best window for every benchmark item that it contains."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
