@@ -105,7 +105,8 @@ def dedup_lines(docs: DataFrame, mark=fingerprint) -> DataFrame:
     whole = docs.select(doc_id, F.col("text"), F.struct(*[F.col(f"`{c}`") for c in others if c != "text"]).alias("row"))
     # Rows that lose a chunk are cut once more, in place; for the others there is nothing to cut.
     loses = F.col("gone").isNotNull()
-    out = add_chunks(whole.join(gone, "doc_id", "left"), F.when(loses, F.col("text")))
+    # A shuffled join at every size: the rows that lose a chunk grow with the input.
+    out = add_chunks(whole.join(gone.hint("merge"), "doc_id", "left"), F.when(loses, F.col("text")))
     kept = F.expr("array_join(filter(chunks, (c, k) -> not array_contains(gone, k)), '\n')")
     lost = F.expr("aggregate(filter(chunks, (c, k) -> array_contains(gone, k)), 0L, (n, c) -> n + size(split(c, '\n')))")
     lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
