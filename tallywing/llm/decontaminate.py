@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywing.llm.common import Scratch
+
 K = 5
 
 #: Per cent of similarity from which on a window counts.
@@ -133,8 +135,12 @@ def matches(docs: DataFrame, items: DataFrame, similar: int = SIMILAR) -> DataFr
 
 def _matches(docs: DataFrame, rows: DataFrame, k: int, similar: int) -> DataFrame:
     """`matches` for one block of items, all with k-word shingles. The item side is of bounded size."""
+    # Both sides are written once: else filters derived from the joins would push the fingerprints' expressions down to
+    # every place of every text. Windows are few, and no later step reads the texts again.
+    scratch = Scratch(docs.sparkSession, "decontaminate")
     own = fingerprinted(rows).select("item_id", F.col("n").alias("item_n"), F.col("sh").alias("item_sh"), F.col("print").alias("item_print"))
-    seen = fingerprinted(windows(docs, rows, k)).select("doc_id", "item_n", "start", "sh", "print")
+    own, _ = scratch.write(own, "items")
+    seen, _ = scratch.write(fingerprinted(windows(docs, rows, k)).select("doc_id", "item_n", "start", "sh", "print"), "windows")
     left = seen.select("*", F.explode(print_blocks("print")).alias("b")).select("*", "b.*").drop("b")
     right = own.drop("item_sh").select("*", F.explode(print_blocks("item_print")).alias("b")).select("*", "b.*").drop("b")
     # A pair within the radius meets in every block in which it agrees; it counts in the first of them.
