@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import decontaminate, lines, packing, quality, sharding
+from tallywing.llm import decontaminate, jaccard, lines, packing, quality, sharding
 from tallywing.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,31 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's best window for every benchmark item that it contains."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+# Every pair of documents that share a shingle, and their components; for tables of the small sizes.
+JACCARD_SQL = """
+WITH RECURSIVE doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), gram AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM doc)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)
+), reach(a, b) AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
+@query("op3_jaccard", JACCARD_SQL)
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and the component of its links."""
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
