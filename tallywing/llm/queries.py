@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import decontaminate, jaccard, lines, packing, quality, sharding
+from tallywing.llm import decontaminate, embeddings, jaccard, lines, packing, quality, sharding
 from tallywing.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +153,9 @@ FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set and the component of its links."""
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_embeddings")
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links by cosine and the component of them."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
