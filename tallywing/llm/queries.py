@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import decontaminate, embeddings, jaccard, lines, packing, quality, sharding
+from tallywing.llm import decontaminate, embeddings, jaccard, lines, lm, packing, quality, sharding
 from tallywing.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +159,9 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links by cosine and the component of them."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_lm_score")
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the interpolated model, beside the smoothed unigram one."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
