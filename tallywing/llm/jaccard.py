@@ -116,7 +116,7 @@ def summaries(texts: DataFrame, k: int = K) -> DataFrame:
     return texts.mapInArrow(lambda b: _per_text(b, make, k), "doc_id long, n long, d1 long, d2 long, head array<long>")
 
 
-def first_blocks(texts: DataFrame, levels: np.ndarray, k: int = K) -> DataFrame:
+def first_blocks(texts: DataFrame, levels: sketches.Levels, k: int = K) -> DataFrame:
     """(key, salt, doc_id, text): each document once for every head that may be in different sets."""
 
     def make(part: pa.RecordBatch, values: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
@@ -124,7 +124,7 @@ def first_blocks(texts: DataFrame, levels: np.ndarray, k: int = K) -> DataFrame:
         row = np.repeat(np.arange(len(n)), n)
         keys = values[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[:-1][row]]
         ids = part.column("doc_id").fill_null(0).to_numpy().view(np.uint64)[row]
-        level = sketches.at(levels, keys).astype(np.int64)
+        level = levels.at(keys).astype(np.int64)
         # 2 ** (level - 1) documents at most have the shingle.
         salts = np.left_shift(1, np.maximum(level - 1 - int(np.log2(BLOCK)), 0))
         salt = (mix(keys ^ mix(ids)) >> np.uint64(1)).astype(np.int64) % salts
@@ -199,7 +199,7 @@ def prefixes(texts: DataFrame, often: np.ndarray, similar: int, k: int = K) -> D
     return texts.mapInArrow(lambda b: _per_text(b, make, k), "doc_id long, n long, prefix array<long>, sketch binary")
 
 
-def postings(sets: DataFrame, levels: np.ndarray) -> DataFrame:
+def postings(sets: DataFrame, levels: sketches.Levels) -> DataFrame:
     """(key, doc_id, comp, n, sketch, known): a row per prefix shingle that may meet several components.
 
     `known` holds the first KNOWN shingles of the prefix up to this one.
@@ -214,7 +214,7 @@ def postings(sets: DataFrame, levels: np.ndarray) -> DataFrame:
                 lengths = np.diff(lists.offsets.to_numpy())
                 row = np.repeat(np.arange(part.num_rows), lengths)
                 begin = np.cumsum(lengths) - lengths
-                keep = np.flatnonzero(sketches.at(levels, keys) > 0)
+                keep = np.flatnonzero(levels.at(keys) > 0)
                 known = [keys[b : min(i, b + KNOWN)] for i, b in zip(keep.tolist(), begin[row[keep]].tolist(), strict=True)]
                 take = pa.array(row[keep])
                 cols = [part.column(c).take(take) for c in ("doc_id", "comp", "n", "sketch")]
@@ -298,7 +298,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similar: int, k: int = K)
     def run(batches: Batches) -> Batches:
         for batch in batches:
             ids = batch.column("doc_id").fill_null(-1).to_numpy()
-            yield from _per_text(iter([batch.filter(pa.array(sketches.at(wanted, ids) > 0))]), make, k)
+            yield from _per_text(iter([batch.filter(pa.array(wanted.at(ids) > 0))]), make, k)
 
     sets = texts.where("doc_id is not null").mapInArrow(run, "doc_id long, s array<long>")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))

@@ -4,26 +4,41 @@ chance, the join behind them drops.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a table, one byte each, at any input size.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 
 
-def levels(counts: DataFrame, key: str = "key", n: str = "n") -> np.ndarray:
+class Levels:
     """For each slot (key modulo SLOTS) the largest ceil(log2(n)) + 1 of its keys; 0 where there is none.
 
-    At most a row per slot comes to the driver.
+    Sent to tasks compressed: a table of few keys is small.
     """
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    def __reduce__(self):
+        return _unpack, (zlib.compress(self.table.tobytes(), 1),)
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        """The entries of uint64 or int64 keys."""
+        return self.table[keys.astype(np.uint64) & np.uint64(SLOTS - 1)]
+
+
+def _unpack(raw: bytes) -> Levels:
+    return Levels(np.frombuffer(zlib.decompress(raw), np.uint8))
+
+
+def levels(counts: DataFrame, key: str = "key", n: str = "n") -> Levels:
+    """The table of the rows (key, n). At most a row per slot comes to the driver."""
     level = (F.ceil(F.log2(F.col(n).cast("double"))) + 1).cast("int")
     rows = counts.groupBy(F.pmod(F.col(key), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.max(level).alias("level")).toArrow()
     table = np.zeros(SLOTS, np.uint8)
     table[rows.column("slot").to_numpy()] = rows.column("level").to_numpy()
-    return table
-
-
-def at(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The entries of uint64 or int64 keys."""
-    return table[keys.astype(np.uint64) & np.uint64(SLOTS - 1)]
+    return Levels(table)
