@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tallywing.llm import sketches
 from tallywing.llm.common import Scratch
 from tallywing.llm.components import components
-from tallywing.llm.signature_tree import Tree, bitmaps, join_sets, traverse
+from tallywing.llm.signature_tree import FANOUT, Tree, bitmaps, join_sets, least_overlap, traverse
 from tallywing.llm.spans import Texts, distinct_per_text, mix, shingles, steps
 
 K = 5
@@ -52,8 +52,8 @@ FREQUENT = 1 / 1000
 #: Bits of the bitmaps that rows carry.
 SKETCH_BITS = 1024
 
-#: First shingles of the order that a row carries, to leave a pair to the first block in which it meets.
-KNOWN = 8
+#: Blocks up to this size are one leaf, whose pairs are compared at once with those of other such blocks.
+LEAF = 16
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -200,10 +200,7 @@ def prefixes(texts: DataFrame, often: np.ndarray, similar: int, k: int = K) -> D
 
 
 def postings(sets: DataFrame, levels: sketches.Levels) -> DataFrame:
-    """(key, doc_id, comp, n, sketch, known): a row per prefix shingle that may meet several components.
-
-    `known` holds the first KNOWN shingles of the prefix up to this one.
-    """
+    """(key, doc_id, comp, n, sketch): a row per prefix shingle that may meet several components."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -211,19 +208,13 @@ def postings(sets: DataFrame, levels: sketches.Levels) -> DataFrame:
                 part = batch.slice(at, 512)
                 lists = part.column("prefix")
                 keys = lists.flatten().to_numpy()
-                lengths = np.diff(lists.offsets.to_numpy())
-                row = np.repeat(np.arange(part.num_rows), lengths)
-                begin = np.cumsum(lengths) - lengths
-                keep = np.flatnonzero(levels.at(keys) > 0)
-                known = [keys[b : min(i, b + KNOWN)] for i, b in zip(keep.tolist(), begin[row[keep]].tolist(), strict=True)]
+                row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                keep = levels.at(keys) > 0
                 take = pa.array(row[keep])
                 cols = [part.column(c).take(take) for c in ("doc_id", "comp", "n", "sketch")]
-                yield pa.record_batch(
-                    [pa.array(keys[keep]), *cols, pa.array([x.tobytes() for x in known], pa.binary())],
-                    ["key", "doc_id", "comp", "n", "sketch", "known"],
-                )
+                yield pa.record_batch([pa.array(keys[keep]), *cols], ["key", "doc_id", "comp", "n", "sketch"])
 
-    return sets.mapInArrow(run, "key long, doc_id long, comp long, n long, sketch binary, known binary")
+    return sets.mapInArrow(run, "key long, doc_id long, comp long, n long, sketch binary")
 
 
 def split_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -239,52 +230,118 @@ def split_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return rows.join(big, "key", "left").withColumn("salt", F.explode(parts)).drop("parts")
 
 
-def candidate_pairs(rows: DataFrame, similar: int) -> DataFrame:
-    """(a, b), each once: documents of different components that a bitmap tree doesn't tell apart."""
+class _Rows:
+    """Columns of posting rows that are in order of their block."""
 
-    def pairs(block: list[dict]) -> list[tuple[int, int]]:
-        block.sort(key=lambda r: (r["n"], r["doc_id"]))
-        comp = np.array([r["comp"] for r in block])
-        if (comp == comp[0]).all():
-            return []
-        major, first = block[0]["major"], block[0]["salt"] == 0
-        known = [set(np.frombuffer(r["known"], np.int64).tolist()) for r in block]
-        maps = np.stack([np.frombuffer(r["sketch"], np.uint64) for r in block])
-        tree = Tree(maps, np.array([r["n"] for r in block], np.int64))
-        ranges = [(comp, comp)]
-        while len(ranges) < len(tree.maps):
-            lo, hi = ranges[-1]
-            cuts = np.arange(0, len(lo), 8)
-            ranges.append((np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts)))
-        out: list[tuple[int, int]] = []
-
-        def same(level: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-            lo, hi = ranges[level]
-            return (lo[p] == hi[p])[:, None] & (lo[p][:, None] == lo[q][None, :]) & (lo[q] == hi[q])[None, :]
-
-        def visit(i: np.ndarray, j: np.ndarray) -> None:
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                # A pair that met at an earlier shingle is left to that block, one of minor components to the first part.
-                if (first or major in (comp[x], comp[y])) and known[x].isdisjoint(known[y]):
-                    out.append((block[x]["doc_id"], block[y]["doc_id"]))
-
-        traverse(tree, similar, same, visit)
+    FIELDS = ("key", "salt", "doc_id", "comp", "n", "major")
+
+    def __init__(self, batch: pa.RecordBatch):
+        for c in self.FIELDS:
+            setattr(self, c, batch.column(c).fill_null(0).to_numpy().astype(np.int64))
+        raw = b"".join(batch.column("sketch").to_pylist())
+        self.maps = np.frombuffer(raw, np.uint64).reshape(-1, SKETCH_BITS // 64)
+
+    def take(self, rows: np.ndarray | slice) -> _Rows:
+        out = object.__new__(_Rows)
+        for c in (*self.FIELDS, "maps"):
+            setattr(out, c, getattr(self, c)[rows])
+        return out
+
+    def behind(self, other: _Rows | None) -> _Rows:
+        if other is None:
+            return self
+        out = object.__new__(_Rows)
+        for c in (*self.FIELDS, "maps"):
+            setattr(out, c, np.concatenate([getattr(other, c), getattr(self, c)]))
         return out
 
+    def counts(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether a pair of different components is this part's to report: one of minor components only in the first part."""
+        whole = (self.salt[i] == 0) | (self.comp[i] == self.major[i]) | (self.comp[j] == self.major[i])
+        return (self.comp[i] != self.comp[j]) & whole & (self.doc_id[i] != self.doc_id[j])
+
+
+def _leaf_pairs(r: _Rows, starts: np.ndarray, sizes: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within many blocks of at most LEAF rows that may be similar."""
+    i = np.repeat(np.arange(len(starts)), sizes)
+    within = np.arange(len(i)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row = starts[i] + within
+    after = sizes[i] - within - 1
+    a = np.repeat(row, after)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
+    ok = r.counts(a, b)
+    a, b = a[ok], b[ok]
+    need, most = least_overlap(r.n[a] + r.n[b], similar), np.minimum(r.n[a], r.n[b])
+    ok = most >= need
+    a, b, need = a[ok], b[ok], need[ok]
+    hidden = r.n - np.bitwise_count(r.maps).sum(axis=1, dtype=np.int64)
+    shared = np.bitwise_count(r.maps[a] & r.maps[b]).sum(axis=1, dtype=np.int64) + np.minimum(hidden[a], hidden[b])
+    return a[shared >= need], b[shared >= need]
+
+
+def _tree_pairs(r: _Rows, start: int, size: int, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a larger block, by a walk over pairs of tree nodes."""
+    rows = start + np.argsort(r.n[start : start + size], kind="stable")
+    comp = r.comp[rows]
+    if (comp == comp[0]).all():
+        return rows[:0], rows[:0]
+    tree = Tree(r.maps[rows], r.n[rows])
+    ranges = [(comp, comp)]
+    while len(ranges) < len(tree.maps):
+        lo, hi = ranges[-1]
+        cuts = np.arange(0, len(lo), FANOUT)
+        ranges.append((np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts)))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def same(level: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        lo, hi = ranges[level]
+        return (lo[p] == hi[p])[:, None] & (lo[p][:, None] == lo[q][None, :]) & (lo[q] == hi[q])[None, :]
+
+    traverse(tree, similar, same, lambda i, j: found.append((rows[i], rows[j])))
+    a = np.concatenate([rows[:0], *(x for x, _ in found)])
+    b = np.concatenate([rows[:0], *(y for _, y in found)])
+    ok = r.counts(a, b)
+    return a[ok], b[ok]
+
+
+def candidate_pairs(rows: DataFrame, similar: int) -> DataFrame:
+    """(a, b), each once: documents of different components that neither a bitmap tree nor their prefixes tell apart.
+
+    A pair is found at every shingle that is in both prefixes. The sets share at most these and what is behind the
+    prefix that ends first, which settles most pairs without their texts.
+    """
+
+    def pairs(r: _Rows) -> pa.RecordBatch:
+        starts = np.flatnonzero((np.diff(r.key, prepend=r.key[:1] - 1) != 0) | (np.diff(r.salt, prepend=r.salt[:1] - 1) != 0))
+        sizes = np.diff(np.append(starts, len(r.key)))
+        small = (sizes > 1) & (sizes <= LEAF)
+        found = [_leaf_pairs(r, starts[small], sizes[small], similar)]
+        found += [_tree_pairs(r, s, n, similar) for s, n in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True)]
+        i, j = (np.concatenate([f[x] for f in found]) for x in (0, 1))
+        swap = r.doc_id[i] > r.doc_id[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.record_batch([pa.array(x) for x in (r.doc_id[i], r.doc_id[j], r.n[i], r.n[j])], ["a", "b", "na", "nb"])
+
     def run(batches: Batches) -> Batches:
-        now, block = None, []
+        open_: _Rows | None = None
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for row in batch.to_pylist():
-                if (row["key"], row["salt"]) != now:
-                    found += pairs(block) if len(block) > 1 else []
-                    now, block = (row["key"], row["salt"]), []
-                block.append(row)
-            yield _pairs(found)
-        yield _pairs(pairs(block) if len(block) > 1 else [])
-
-    found = rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+            if not batch.num_rows:
+                continue
+            r = _Rows(batch).behind(open_)
+            last = int(np.flatnonzero((r.key != r.key[-1]) | (r.salt != r.salt[-1]))[-1]) + 1 if (r.key != r.key[-1]).any() or (
+                r.salt != r.salt[-1]
+            ).any() else 0
+            open_ = r.take(slice(last, None))
+            if last:
+                yield pairs(r.take(slice(0, last)))
+        if open_ is not None:
+            yield pairs(open_)
+
+    found = rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, "a long, b long, na long, nb long")
+    behind = "greatest(ceil(na * {0} / 100), ceil(nb * {0} / 100)) - 1".format(similar)
+    need = f"ceil({similar} * (na + nb) / {100 + similar})"
+    common = found.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return common.where(F.expr(f"c + {behind} >= {need}")).select("a", "b").distinct()
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similar: int, k: int = K) -> DataFrame:
@@ -317,8 +374,9 @@ def link_documents(docs: DataFrame, similar: int = SIMILAR, k: int = K) -> DataF
         F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count("*").alias("n")
     )
     levels = sketches.levels(heads.where("lo != hi"))
-    links, links_path = scratch.write(link_blocks(first_blocks(texts, levels, k), similar, k).union(copies), "links")
-    groups, _ = scratch.write(components(links, scratch), "groups")
+    links, links_path = scratch.write(link_blocks(first_blocks(texts, levels, k), similar, k), "links")
+    copies, copies_path = scratch.write(copies.where("a != b"), "copies")
+    groups, _ = scratch.write(components(links.union(copies), scratch), "groups")
 
     # From here on one document stands for its class.
     reps = classes.select("rep").join(groups, F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
@@ -339,7 +397,7 @@ def link_documents(docs: DataFrame, similar: int = SIMILAR, k: int = K) -> DataF
     more, _ = scratch.write(similar_pairs(pairs, texts, similar, k), "more")
     if not more.isEmpty():
         groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch)
-    scratch.drop(links_path, pairs_path)
+    scratch.drop(links_path, copies_path, pairs_path)
     return own.join(groups, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
