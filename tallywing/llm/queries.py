@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import decontaminate, embeddings, jaccard, lines, lm, packing, quality, sharding
+from tallywing.llm import decontaminate, embeddings, jaccard, lines, lm, packing, pii, quality, sharding, toxicity
 from tallywing.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,16 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability under the interpolated model, beside the smoothed unigram one."""
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pseudonyms")
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms, and how many values of each kind it had. The key is a stand-in."""
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), b"stand-in key of the named query")
+    return out.select("doc_id", "text", *[c for c in out.columns if c.startswith("n_")])
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity grade of every document; learnt from the labels that are not held out."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -22,8 +22,8 @@ _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _POWERS: dict[str, np.ndarray] = {}
@@ -100,7 +100,7 @@ class Texts:
     def word_hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words with A-Z lowered, and the first word of each text."""
         starts, ends, first = self.words()
-        return hash_spans(_LOWER[self.buf], starts, ends), first
+        return hash_spans(LOWER[self.buf], starts, ends), first
 
 
 def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
