@@ -34,7 +34,7 @@ def fingerprint(text: Column) -> Column:
 def add_chunks(df: DataFrame, text: Column) -> DataFrame:
     """Add `chunks`: the chunks of `text` in order; joined by line ends they are the text. NULL for NULL.
 
-    `df` has no column named lines, h, mark, ends or chunks.
+    `df` has no column named lines, h, mark, ends, cut or chunks.
     """
     return (
         df.withColumn("lines", F.split(text, "\n"))
@@ -50,13 +50,15 @@ def add_chunks(df: DataFrame, text: Column) -> DataFrame:
             ),
         )
         .withColumn(
-            "chunks",
+            "cut",
             F.expr(
                 "if(lines is null, null, transform(ends, (e, k) -> array_join("
                 "slice(lines, if(k = 0, 0, get(ends, k - 1) + 1) + 1, e - if(k = 0, -1, get(ends, k - 1))), '\n')))"
             ),
         )
-        .drop("lines", "h", "mark", "ends")
+        # One row in, one row out: filters on what is made of the chunks then stay above, where they cost nothing. Moved
+        # below they would hold the whole chain again, once for every line.
+        .select(*[f"`{c}`" for c in df.columns], F.explode_outer(F.array("cut")).alias("chunks"))
     )
 
 
