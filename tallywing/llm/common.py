@@ -17,6 +17,14 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(folds))
 
 
+def rows_by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of `docs` whose doc_id is in the one column of `ids` ("left_semi") or isn't ("left_anti"), with all their
+    columns, whatever their names.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+    return rows.join(ids.toDF("other_id"), F.col("own_id") == F.col("other_id"), how).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
 class Scratch:
     """Tables written below the shared folder; those not needed by a result can be dropped."""
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywing.llm.common import Scratch
+from tallywing.llm.common import Scratch, rows_by_id
 
 K = 5
 
@@ -171,5 +171,4 @@ def _matches(docs: DataFrame, rows: DataFrame, k: int, similar: int) -> DataFram
 def clean(docs: DataFrame, items: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The rows of `docs` that no item contaminates, with all their columns."""
     bad = matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, similar)
-    ids = bad.select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(ids, docs.doc_id == F.col("bad_id"), "left_anti")
+    return rows_by_id(docs, bad.select("doc_id").distinct(), "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywing.llm import sketches
-from tallywing.llm.common import Scratch
+from tallywing.llm.common import Scratch, rows_by_id
 from tallywing.llm.components import components
 from tallywing.llm.signature_tree import FANOUT, Tree, bitmaps, join_sets, least_overlap, traverse
 from tallywing.llm.spans import Texts, distinct_per_text, mix, shingles, steps
@@ -406,5 +406,4 @@ def link_documents(docs: DataFrame, similar: int = SIMILAR, k: int = K) -> DataF
 def one_of_each(docs: DataFrame, similar: int = SIMILAR, k: int = K) -> DataFrame:
     """The rows of `docs` whose id names their component: one document of each group, with all its columns."""
     groups = link_documents(docs, similar, k)
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("gone_id"), "left_anti")
+    return rows_by_id(docs, groups.where("doc_id != component_id").select("doc_id").distinct(), "left_anti")

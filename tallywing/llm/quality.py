@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywing.llm import trees
-from tallywing.llm.common import Scratch, fold
+from tallywing.llm.common import Scratch, fold, rows_by_id
 from tallywing.llm.spans import Texts, distinct_per_text, shingles, steps
 
 STATISTICS = [
@@ -192,7 +192,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     A second scoring pass over the texts is cheaper than a shuffle of them: the model from the first pass is applied
     to each row where it stands.
     """
-    numbers = statistics(docs.join(training_labels(labels).select("id").distinct(), docs.doc_id == F.col("id"), "left_semi"))
+    texts = docs.select("doc_id", "text")
+    numbers = statistics(rows_by_id(texts, training_labels(labels).select("id").distinct(), "left_semi"))
     forest = train(numbers, training_labels(labels), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
