@@ -14,7 +14,7 @@ size ranges, walked in pairs, node pairs being left out by their largest possibl
 4. Components of all links.
 
 What reaches the driver has a fixed bound: the frequent shingles (each in a thousandth of the documents or more) and tables of
-SLOTS bytes that thin out rows before a shuffle.
+SLOTS bytes or BITS bits that thin out rows before a shuffle.
 
 Defined cases: NULL and empty texts have no shingles and link with nothing; fewer than five words are one shingle;
 rows with equal ids are one node, each with its own size; a NULL id has no links and a NULL component; an empty table
@@ -199,7 +199,7 @@ def prefixes(texts: DataFrame, often: np.ndarray, similar: int, k: int = K) -> D
     return texts.mapInArrow(lambda b: _per_text(b, make, k), "doc_id long, n long, prefix array<long>, sketch binary")
 
 
-def postings(sets: DataFrame, levels: sketches.Levels) -> DataFrame:
+def postings(sets: DataFrame, meet: sketches.Members) -> DataFrame:
     """(key, doc_id, comp, n, sketch): a row per prefix shingle that may meet several components."""
 
     def run(batches: Batches) -> Batches:
@@ -209,7 +209,7 @@ def postings(sets: DataFrame, levels: sketches.Levels) -> DataFrame:
                 lists = part.column("prefix")
                 keys = lists.flatten().to_numpy()
                 row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                keep = levels.at(keys) > 0
+                keep = meet.has(keys)
                 take = pa.array(row[keep])
                 cols = [part.column(c).take(take) for c in ("doc_id", "comp", "n", "sketch")]
                 yield pa.record_batch([pa.array(keys[keep]), *cols], ["key", "doc_id", "comp", "n", "sketch"])
@@ -346,8 +346,7 @@ def candidate_pairs(rows: DataFrame, similar: int) -> DataFrame:
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similar: int, k: int = K) -> DataFrame:
     """The pairs whose whole sets are similar. Only sets of documents in a pair are sent."""
-    ids = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).groupBy("key").agg(F.count("*").alias("n"))
-    wanted = sketches.levels(ids)
+    wanted = sketches.members(pairs.select(F.col("a").alias("key")).union(pairs.select("b")))
 
     def make(part: pa.RecordBatch, values: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([part.column("doc_id"), _lists(values, first)], ["doc_id", "s"])
@@ -355,7 +354,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similar: int, k: int = K)
     def run(batches: Batches) -> Batches:
         for batch in batches:
             ids = batch.column("doc_id").fill_null(-1).to_numpy()
-            yield from _per_text(iter([batch.filter(pa.array(wanted.at(ids) > 0))]), make, k)
+            yield from _per_text(iter([batch.filter(pa.array(wanted.has(ids)))]), make, k)
 
     sets = texts.where("doc_id is not null").mapInArrow(run, "doc_id long, s array<long>")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
@@ -368,7 +367,7 @@ def link_documents(docs: DataFrame, similar: int = SIMILAR, k: int = K) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own, _ = scratch.write(summaries(texts, k), "summaries")
     some = own.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"))
+    classes, _ = scratch.write(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")), "classes")
     copies = some.join(classes.where("rep != other"), ["d1", "d2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     heads = some.select(F.explode("head").alias("key"), "d1").groupBy("key").agg(
         F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count("*").alias("n")
@@ -387,10 +386,10 @@ def link_documents(docs: DataFrame, similar: int = SIMILAR, k: int = K) -> DataF
         .groupBy("key")
         .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         .where("lo < hi")
-        .select("key", F.lit(2).alias("n"))
+        .select("key")
     )
     meet, meet_path = scratch.write(meet, "meet")
-    rows = postings(sets, sketches.levels(meet)).join(meet.select("key"), "key", "left_semi")
+    rows = postings(sets, sketches.members(meet)).join(meet, "key", "left_semi")
     rows, rows_path = scratch.write(rows, "postings")
     pairs, pairs_path = scratch.write(candidate_pairs(split_groups(rows, scratch), similar), "pairs")
     scratch.drop(sets_path, meet_path, rows_path)

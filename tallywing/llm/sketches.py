@@ -42,3 +42,36 @@ def levels(counts: DataFrame, key: str = "key", n: str = "n") -> Levels:
     table = np.zeros(SLOTS, np.uint8)
     table[rows.column("slot").to_numpy()] = rows.column("level").to_numpy()
     return Levels(table)
+
+
+#: Bits of a membership table, at any input size: 8 MB.
+BITS = 1 << 26
+
+
+class Members:
+    """A bit per key modulo BITS. Keys in the set are always found, others seldom while the set is far smaller."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __reduce__(self):
+        return _unpack_members, (zlib.compress(self.words.tobytes(), 1),)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        bit = keys.astype(np.uint64) & np.uint64(BITS - 1)
+        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _unpack_members(raw: bytes) -> Members:
+    return Members(np.frombuffer(zlib.decompress(raw), np.uint64))
+
+
+def members(keys: DataFrame, key: str = "key") -> Members:
+    """The table of a long column. Bits are combined in Spark; at most BITS / 64 rows come to the driver."""
+    bit = F.pmod(F.col(key), F.lit(BITS))
+    word = F.shiftright(bit, 6).cast("int").alias("word")
+    rows = keys.select(word, F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("b"))
+    found = rows.toArrow()
+    words = np.zeros(BITS // 64, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return Members(words)

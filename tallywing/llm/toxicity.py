@@ -134,12 +134,12 @@ def grades_of(toxic: np.ndarray, amount: np.ndarray, grades: int = GRADES) -> np
 
 def _sample_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, y, words, counts) of the labelled documents. A table of fixed size drops other texts before the join."""
-    wanted = sketches.levels(labels.select(F.col("id").alias("key")).groupBy("key").agg(F.count("*").alias("n")))
+    wanted = sketches.members(labels.select(F.col("id").alias("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").fill_null(-1).to_numpy()
-            for part in steps(batch.filter(pa.array(wanted.at(ids) > 0)), "text"):
+            for part in steps(batch.filter(pa.array(wanted.has(ids))), "text"):
                 values, counts, first = word_counts(part.column("text"))
                 at = pa.array(first, pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(a)) for a in (values.view(np.int64), counts.astype(np.int64))]
