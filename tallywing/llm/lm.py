@@ -33,17 +33,21 @@ from pyspark.sql import functions as F
 from tallywing.llm.common import Scratch, fold
 from tallywing.llm.spans import Texts, mix, steps
 
+#: Order of the model by default; 1, 2 and 3 are possible.
 ORDER = 2
 
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 
 #: Bytes that the n-grams of one part take, about.
-PART_BYTES = 24 << 20
+PART_BYTES = 8 << 20
 
 #: Held-out estimates are counted in steps of this many to a doubling; only the weights depend on it.
 FINENESS = 8
 
+#: Stands for an estimate of 0.
+NONE = -10_000
+
 EM_ROUNDS = 60
 
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
@@ -233,12 +237,14 @@ def held_out_statistics(rows: DataFrame, order: int, total: int, texts: int, uni
         for batch in batches:
             for i in range(batch.num_rows):
                 e = Estimates(batch.slice(i, 1).to_pylist()[0], order, texts)
-                cells = [e.bucket(True)]
+                code = e.bucket(True)  # a cell as one number, 16 bits to an estimate
                 for q in e.chances(total, True):
-                    cells.append(np.where(q > 0, np.round(np.log2(np.maximum(q, 1e-300) / uniform) * FINENESS), -10_000).astype(np.int64))
-                cell = np.stack(cells, axis=1)[~e.held]
-                found, n = np.unique(cell, axis=0, return_counts=True) if len(cell) else (np.zeros((0, order + 1), int), np.zeros(0, int))
-                yield pa.record_batch([*(pa.array(found[:, j]) for j in range(order + 1)), pa.array(n)], ["bucket", *names, "n"])
+                    step = np.where(q > 0, np.round(np.log2(np.maximum(q, 1e-300) / uniform) * FINENESS), NONE).astype(np.int64)
+                    code = (code << 16) + (step + (1 << 15))
+                found, n = np.unique(code[~e.held], return_counts=True)
+                cells = [pa.array(found >> (16 * order))]
+                cells += [pa.array(((found >> (16 * j)) & 0xFFFF) - (1 << 15)) for j in reversed(range(order))]
+                yield pa.record_batch([*cells, pa.array(n)], ["bucket", *names, "n"])
 
     schema = ", ".join(f"{x} long" for x in ("bucket", *names, "n"))
     return rows.mapInArrow(run, schema).groupBy("bucket", *names).agg(F.sum("n").alias("n"))
@@ -250,7 +256,7 @@ def learn_weights(cells: np.ndarray, order: int, rounds: int = EM_ROUNDS) -> dic
     for b in np.unique(cells[:, 0]).tolist():
         own = cells[cells[:, 0] == b]
         steps_, n = own[:, 1 : order + 1], own[:, -1].astype(float)
-        q = np.concatenate([np.ones((len(own), 1)), np.where(steps_ > -10_000, np.exp2(steps_ / FINENESS), 0.0)], axis=1)
+        q = np.concatenate([np.ones((len(own), 1)), np.where(steps_ > NONE, np.exp2(steps_ / FINENESS), 0.0)], axis=1)
         w = np.full(order + 1, 1 / (order + 1))
         for _ in range(rounds):
             share = q * w
