@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywing.functions.text import fingerprint, parse_payload, strip, truncate_title
-from tallywing.operators.joins import carry_forward, cascade_delete
+from tallywing.operators.joins import carry_forward, cascade_delete, null_safe_join
 from tallywing.operators.ranking import first_per_group, top
 
 DEFAULT_TITLE = "New chat"
@@ -96,7 +96,7 @@ def repeat_hits(requests: DataFrame, keys: list[str], at: str = "ts", ttl_second
     w = W.partitionBy(*keys, "__slot").orderBy(at)
     local = cut.withColumn("__prev", F.lag(at).over(w))
     ends = cut.groupBy(*keys, (F.col("__slot") + 1).alias("__slot")).agg(F.max(at).alias("__carried"))
-    joined = local.join(ends, [*keys, "__slot"], "left")
+    joined = null_safe_join(local, ends, [*keys, "__slot"])
     previous = F.coalesce("__prev", "__carried")
     gap = micros - F.unix_micros(previous.cast("timestamp"))
     return joined.withColumn(

@@ -20,6 +20,13 @@ def lookup(fact: DataFrame, dimension: DataFrame, key: str, how: str = "inner")
     return fact.join(dimension, key, how)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL, as windows and groups take it. `right` has its other columns to itself."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def dictionary_lookup(df: DataFrame, dictionary: DataFrame, columns: list[str], bound: int = 10_000) -> DataFrame:
     """Add `<column>_code` for each listed column from `(column, value, code)`; unknown gives 0.
 
@@ -83,7 +90,7 @@ def carry_forward(
     starts = carry_forward(ends, keys, stretch, F.col("__latest"), carried, span, levels - 1)
     starts = starts.filter(F.col(carried).isNotNull()).drop("__latest")
     return (
-        local.join(starts, [*keys, stretch], "left")
+        null_safe_join(local, starts, [*keys, stretch])
         .withColumn(name, F.coalesce("__inside", carried))
         .drop(stretch, "__inside", carried, "__value")
     )

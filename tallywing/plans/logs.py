@@ -293,7 +293,7 @@ def r01_share_of_total(t: DataFrame) -> DataFrame:
 
 @register(
     "r02_report_sections",
-    """SELECT role AS item, conv_id * 1000 + turn AS position,
+    """SELECT role AS item, conv_id || '/' || turn AS position,
               CASE role WHEN 'user' THEN 'table' WHEN 'assistant' THEN 'line' ELSE 'kpi' END AS kind,
               CASE role WHEN 'user' THEN 'full_width' WHEN 'assistant' THEN 'grid' ELSE 'kpi' END AS section
        FROM conversations QUALIFY role <> 'user' OR row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) <= 8""",
@@ -303,9 +303,9 @@ def r02_report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.col("role")
     kind = F.when(role == "user", "table").when(role == "assistant", "line").otherwise("kpi")
     items = messages_of(spark, sf_dir).select(
-        role.alias("item"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"), kind.alias("kind")
+        role.alias("item"), F.struct("conv_id", "turn").alias("position"), kind.alias("kind")
     )
-    return R.report_sections(items)
+    return R.report_sections(items).withColumn("position", F.concat_ws("/", "position.conv_id", "position.turn"))
 
 
 @on_transactions(

@@ -14,7 +14,7 @@ from tallywing.plans.models import trained_model
 from tallywing.plans.registry import REGISTRY, register
 from tallywing.session import scratch_path
 from tallywing.sources import files as IO
-from tallywing.sources.fixture import transactions, with_transactions
+from tallywing.sources.fixture import table, transactions, with_transactions
 
 ALL_ROWS = with_transactions(
     """SELECT * EXCLUDE (risk) REPLACE (strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp") FROM transactions"""
@@ -33,6 +33,39 @@ def s01_load_raw_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(IO.load_raw(spark, path))
 
 
+# Every fifth event becomes a raw line with one fault: an amount that is no number, a time that is none, a field too
+# few or a field too many.
+FAULTY_SQL = """SELECT reason, count(*) AS lines, count(DISTINCT line) AS different FROM (
+  SELECT 'TXN' || event_id || CASE event_id // 5 % 4 WHEN 0 THEN ',2024-10-08 15:17:28,much' WHEN 1 THEN ',noon,868'
+         WHEN 2 THEN ',2024-10-08 15:17:28' ELSE ',2024-10-08 15:17:28,868,x' END AS line,
+         CASE event_id // 5 % 4 WHEN 0 THEN 'amount (INR)' WHEN 1 THEN 'timestamp' ELSE 'field count' END AS reason
+  FROM events WHERE event_id % 5 = 0
+  UNION ALL SELECT 'none', 'kept' FROM events WHERE event_id % 5 <> 0
+) GROUP BY 1"""
+
+
+@register("s01_rejected_lines", FAULTY_SQL)
+def s01_rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that do not fit by reason, and those that do, of a raw file made from all events."""
+    path, e = scratch_path(spark, "faulty"), F.col("event_id")
+    fault = F.expr("event_id div 5 % 4")
+    tail = (
+        F.when(e % 5 != 0, ",2024-10-08 15:17:28,868")
+        .when(fault == 0, ",2024-10-08 15:17:28,much")
+        .when(fault == 1, ",noon,868")
+        .when(fault == 2, ",2024-10-08 15:17:28")
+        .otherwise(",2024-10-08 15:17:28,868,x")
+    )
+    # Each task writes one file, whose first line is the header.
+    first = F.monotonically_increasing_id() % (1 << 33) == 0
+    head = F.when(first, "transaction id,timestamp,amount (INR)\n").otherwise("")
+    lines = table(spark, sf_dir, "events").select(F.concat(head, F.lit("TXN"), e.cast("string"), tail).alias("value"))
+    lines.write.text(path)
+    bad = IO.rejected_lines(spark, path).groupBy("reason").agg(rows("lines"), F.countDistinct("line").alias("different"))
+    good = IO.read_transactions_csv(spark, path).where(F.col(S.CORRUPT_COLUMN).isNull())
+    return bad.union(good.agg(F.lit("kept"), F.count("*"), F.lit(1).cast("long")))
+
+
 @register(
     "s02_rename_source_columns",
     with_transactions(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,25 +13,67 @@ from tallywing.functions import dates as D
 from tallywing.functions import features as X
 
 
+REASON_COLUMN = "_reason"
+
+
+def _known_field(name: str) -> T.StructField:
+    known = {f.name: f for f in [*S.RAW_CSV.fields, *S.TRANSACTIONS.fields]}
+    return known.get(name, T.StructField(name, T.StringType()))
+
+
+def _typed(text: Column, kind: T.DataType) -> Column:
+    """The value of a field's text, NULL where it isn't one."""
+    if isinstance(kind, T.StringType):
+        return text
+    value = text.try_cast(kind)
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+        return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), value)
+    return value
+
+
+def parse_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the raw file: its fields with known types, `_corrupt_record` and `_reason`.
+
+    Only the header is looked at beforehand; nothing is inferred. All fields are split as text first and turned into
+    their types by expressions, so whether a line fits doesn't depend on the columns that are read later: it does if it
+    has as many fields as the header and no field has text that is not of its type. Of other lines `_corrupt_record`
+    has the text and `_reason` what is wrong, `field count` or the names of the faulty columns. Blank lines and the
+    header of each file are no lines. A field may not hold a line end.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    places = [f"c{i}" for i in range(len(names))]
+    layout = ", ".join(f"{c} string" for c in [*places, S.CORRUPT_COLUMN])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT_COLUMN}
+    lines = spark.read.text(path).where("trim(value) != ''").select("value", F.from_csv("value", layout, options).alias("r"))
+    header = F.lit(True)
+    for c, name in zip(places, names, strict=True):
+        header &= F.col(f"r.{c}").eqNullSafe(F.lit(name))
+    fields, faults = [], []
+    for c, name in zip(places, names, strict=True):
+        text, kind = F.col(f"r.{c}"), _known_field(name).dataType
+        value = _typed(text, kind)
+        fields.append(value.alias(name))
+        if not isinstance(kind, T.StringType):
+            faults.append(F.when(text.isNotNull() & (F.trim(text) != "") & value.isNull(), F.lit(name)))
+    wrong = F.array_compact(F.array(*faults)) if faults else F.array().cast("array<string>")
+    reason = F.when(F.col(f"r.{S.CORRUPT_COLUMN}").isNotNull(), F.lit("field count")).when(F.size(wrong) > 0, F.array_join(wrong, ", "))
+    return lines.where(~header).select(
+        *fields, F.when(reason.isNotNull(), F.col("value")).alias(S.CORRUPT_COLUMN), reason.alias(REASON_COLUMN)
+    )
+
+
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
     """The raw file with known types, in the file's own column order.
 
-    Only the header is looked at beforehand; nothing is inferred. Lines that do not
-    fit are kept with their text in `_corrupt_record`.
+    Lines that do not fit are kept with their text in `_corrupt_record`.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    known = {f.name: f for f in S.RAW_CSV.fields}
-    known |= {f.name: f for f in S.TRANSACTIONS.fields}
-    fields = [known.get(c, T.StructField(c, T.StringType())) for c in header]
-    layout = T.StructType([*fields, T.StructField(S.CORRUPT_COLUMN, T.StringType())])
-    return (
-        spark.read.schema(layout)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", S.CORRUPT_COLUMN)
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-        .csv(path)
-    )
+    return parse_lines(spark, path).drop(REASON_COLUMN)
+
+
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, reason) of every line that `load_raw` leaves out."""
+    bad = parse_lines(spark, path).where(F.col(REASON_COLUMN).isNotNull())
+    return bad.select(F.col(S.CORRUPT_COLUMN).alias("line"), F.col(REASON_COLUMN).alias("reason"))
 
 
 def rename_source_columns(df: DataFrame) -> DataFrame:
@@ -39,7 +81,7 @@ def rename_source_columns(df: DataFrame) -> DataFrame:
 
 
 def load_raw(spark: SparkSession, path: str, variant: str = "stored", label_style: str = "short") -> DataFrame:
-    """Raw CSV to the enriched 21-column table; unreadable lines are left out."""
+    """Raw CSV to the enriched 21-column table; the lines of `rejected_lines` are left out, whichever columns are read."""
     raw = rename_source_columns(read_transactions_csv(spark, path))
     fit = raw.filter(F.col(S.CORRUPT_COLUMN).isNull()).drop(S.CORRUPT_COLUMN)
     return X.with_derived_labels(fit, variant, label_style).select(*S.TRANSACTION_COLUMNS)

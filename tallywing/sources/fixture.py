@@ -75,7 +75,7 @@ def derive_transactions(events: DataFrame, event_time: str = "spread") -> DataFr
 def transactions(
     spark: SparkSession, sf_dir: str, with_state: bool = True, event_time: str = "spread"
 ) -> DataFrame:
-    """All transaction columns; without `sender_state` no join is needed at all."""
+    """All transaction columns; without `sender_state` no join is needed at all. An unknown user has a NULL state."""
     fact = derive_transactions(table(spark, sf_dir, "events"), event_time)
     if not with_state:
         return fact.select(*[c for c in S.TRANSACTION_COLUMNS if c != "sender_state"])
@@ -85,7 +85,8 @@ def transactions(
         nation,
         "c_nationkey",
     ).select("user_id", X.pick(S.STATES, F.col("c_nationkey") % 15).alias("sender_state"))
-    return lookup(fact, home, "user_id").select(*S.TRANSACTION_COLUMNS)
+    # A left join: a payment of an unknown user stays, without a state.
+    return lookup(fact, home, "user_id", "left").select(*S.TRANSACTION_COLUMNS)
 
 
 def _case_list(index: str, values: list[str]) -> str:
@@ -109,12 +110,12 @@ def _case_label(group: str) -> str:
 
 def _fact_cte(name: str, ts: str) -> str:
     return f"""{name}_base AS (
-  SELECT e.*, {ts} AS t2, c.c_nationkey AS nk,
+  SELECT e.*, {ts} AS t2, n_nationkey AS nk,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
          CASE WHEN event_id % 20 < 7 THEN 'P2P' WHEN event_id % 20 < 14 THEN 'P2M'
               WHEN event_id % 20 < 18 THEN 'Bill Payment' ELSE 'Recharge' END AS tt,
          CAST(floor(value * 100) AS INTEGER) AS amt, (event_id * 7 + user_id) % 20 AS n
-  FROM events e JOIN customer c ON c.c_custkey = e.user_id JOIN nation ON n_nationkey = c.c_nationkey
+  FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id LEFT JOIN nation ON n_nationkey = c.c_nationkey
 ), {name}_raw AS (
   SELECT event_id, user_id, 'TXN' || lpad(CAST(event_id + 1 AS VARCHAR), 10, '0') AS transaction_id,
          t2 AS "timestamp", tt AS transaction_type,

@@ -220,3 +220,22 @@ def test_report_sections(spark):
 def test_cells(spark):
     got = R.as_cells(frame(spark, [("x", 1234567), (None, None)], "label string, amount int")).collect()
     assert [tuple(r) for r in got] == [("x", "₹12,34,567"), ("—", "—")]
+
+
+def test_null_keys_are_one_key(spark):
+    from tallywing.operators.conversations import question_answer_pairs, repeat_hits
+
+    rows = [(None, 1, "user", "why"), (None, 2000, "assistant", "so"), (1, 1, "user", "what"), (1, 2000, "assistant", "that")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = question_answer_pairs(df)
+    assert sorted(pairs.select("question", "answer").collect()) == [("what", "that"), ("why", "so")]
+    ask = spark.createDataFrame([(None, 899), (None, 901), (None, 5000)], "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    assert [r.hit for r in repeat_hits(ask, ["k"]).orderBy("ts").collect()] == [False, True, False]
+
+
+def test_null_labels_are_split_like_others(spark):
+    df = spark.range(400).select("id", F.when(F.col("id") % 10 < 8, F.col("id") % 2).alias("y"))
+    split = stratified_split(df, "y", "id")
+    assert {r.y: r.n for r in split.where("is_test").groupBy("y").agg(F.count("*").alias("n")).collect()} == {0: 32, 1: 32, None: 16}
+    many = stratified_split(spark.range(3000).select("id", (F.col("id") % 1500).alias("y")), "y", "id", 0.5)
+    assert many.where("is_test").groupBy("y").count().where("count = 1").count() == 1500
