@@ -80,7 +80,11 @@ def question_answer_pairs(
 
 def request_key(question: Column, history: Column) -> Column:
     """Fingerprint of a question and its history, an array of (order, role, content)."""
-    turns = F.transform(history, lambda h: fingerprint(h["role"], h["content"]))
+    return request_key_of(question, F.transform(history, lambda h: fingerprint(h["role"], h["content"])))
+
+
+def request_key_of(question: Column, turns: Column) -> Column:
+    """The same from the fingerprints (role, content) of the history's turns, in order."""
     return fingerprint(strip(question), F.array_join(turns, ","))
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywing.operators.joins import union_by_name
@@ -89,6 +89,10 @@ def _scale(name: str) -> float:
     return CHANGEPOINT_SCALE if name.startswith("bend_") else SEASON_SCALE
 
 
+# What is saved beside the regression itself.
+SAVED = "columns array<string>, first_day long, length long, multiplicative boolean, low double, high double"
+
+
 @dataclass
 class Forecaster:
     """A fitted single series."""
@@ -100,6 +104,18 @@ class Forecaster:
     multiplicative: bool
     band: tuple[float, float]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.regression.write().overwrite().save(f"{path}/regression")
+        about = [(self.columns, self.first_day, self.length, self.multiplicative, *self.band)]
+        spark.createDataFrame(about, SAVED).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Forecaster:
+        """A saved model; predicting from it reads no row of the table it was fitted on."""
+        a = spark.read.schema(SAVED).parquet(f"{path}/about").first()
+        regression = LinearRegressionModel.load(f"{path}/regression")
+        return Forecaster(regression, list(a["columns"]), a["first_day"], a["length"], a["multiplicative"], (a["low"], a["high"]))
+
     def _with_fit(self, days: DataFrame) -> DataFrame:
         return _fit_columns(self.regression, days, self.columns, self.first_day, self.length)
 

@@ -105,7 +105,8 @@ def fit_label_encoder(df: DataFrame, columns: list[str]) -> DataFrame:
             for c in columns
         ]
     )
-    values = df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    # Combinations first: what is unfolded is one row per combination, not per row of the table.
+    values = df.select(*columns).distinct().select(F.explode(pairs).alias("p")).select("p.*").distinct()
     code = F.row_number().over(W.partitionBy("column").orderBy("value")) - 1
     return values.withColumn("code", code)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywing.operators import forecast as P
 from tallywing.plans.registry import on_transactions, register
+from tallywing.session import scratch_path
 from tallywing.sources.fixture import table
 
 METRICS = ["txn_count", "total_amount"]
@@ -23,6 +24,14 @@ def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fill_calendar(order_days(spark, sf_dir), METRICS)
 
 
+def stored_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once: fitting reads a row per day several times, not the table."""
+    path = scratch_path(spark, "series")
+    series = order_series(spark, sf_dir)
+    series.write.parquet(path)
+    return spark.read.schema(series.schema).parquet(path)
+
+
 def as_text(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     """Days as text and the given numbers rounded."""
     out = {c: F.round(c, digits) for c in columns}
@@ -105,7 +114,7 @@ def ts04_trend_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ts05_fit_forecast")
 def ts05_fit_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the fitted model follows the history of both targets."""
-    series = order_series(spark, sf_dir)
+    series = stored_series(spark, sf_dir)
     parts = []
     for target in METRICS:
         fitted = P.fit_forecast(series, target).predict(series)
@@ -145,12 +154,29 @@ def ts06_future_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ts07_predict")
 def ts07_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_text(P.forecast_response(order_series(spark, sf_dir), "count", 30), *P.BOUNDS)
+    return as_text(P.forecast_response(stored_series(spark, sf_dir), "count", 30), *P.BOUNDS)
 
 
 @register("ts07_predict_amount")
 def ts07_predict_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_text(P.forecast_response(order_series(spark, sf_dir), "amount", 60), *P.BOUNDS, digits=2)
+    return as_text(P.forecast_response(stored_series(spark, sf_dir), "amount", 60), *P.BOUNDS, digits=2)
+
+
+@register(
+    "s10_save_load_forecast",
+    f"WITH {ORDERS_SQL} SELECT target, count(*) AS days, 0 AS different FROM series, (VALUES ('txn_count'), ('total_amount')) v(target) GROUP BY 1",
+)
+def s10_save_load_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of the history on which a saved and loaded model says something else than the fitted one."""
+    series, parts = stored_series(spark, sf_dir), []
+    for target in METRICS:
+        model, path = P.fit_forecast(series, target), scratch_path(spark, "forecast")
+        model.save(spark, path)
+        again = P.Forecaster.load(spark, path).predict(series).select("ds", F.struct(*P.BOUNDS).alias("b"))
+        both = model.predict(series).select("ds", F.struct(*P.BOUNDS).alias("a")).join(again, "ds", "full")
+        different = F.count_if(~F.col("a").eqNullSafe(F.col("b")))
+        parts.append(both.agg(F.lit(target).alias("target"), F.count("*").alias("days"), different.alias("different")))
+    return parts[0].unionByName(parts[1])
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywing.functions.text import fingerprint
 from tallywing.operators import conversations as C
 from tallywing.operators import evaluation as E
 from tallywing.operators import shaping as R
@@ -160,8 +161,8 @@ def c09_repeat_hits_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f19_request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache key of every question: its text and the six turns before it."""
     messages = messages_of(spark, sf_dir)
-    turn = F.struct("turn", "role", F.col("text").alias("content"))
-    # Each message joins the history of the next six turns: at most six copies, keyed by (session, turn).
+    turn = F.struct("turn", fingerprint(F.col("role"), F.col("text")).alias("print"))
+    # Each message joins the history of the next six turns: at most six copies of its fingerprint, not of its text.
     spread = messages.select(
         "conv_id", F.explode(F.sequence(F.col("turn") + 1, F.col("turn") + 6)).alias("at"), turn.alias("past")
     )
@@ -169,7 +170,8 @@ def f19_request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list("past")).alias("history")
     )
     asked = messages.filter("role = 'user'").join(history, ["conv_id", "turn"], "left")
-    return asked.select("conv_id", "turn", C.request_key(F.col("text"), F.coalesce("history", F.array())).alias("request_key"))
+    turns = F.coalesce(F.col("history.print"), F.array().cast("array<string>"))
+    return asked.select("conv_id", "turn", C.request_key_of(F.col("text"), turns).alias("request_key"))
 
 
 def benchmark_cases(t: DataFrame) -> list[E.Case]:

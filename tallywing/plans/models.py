@@ -11,6 +11,7 @@ from tallywing.operators import attribution as A
 from tallywing.operators import fraud_model as M
 from tallywing.operators import metrics as ME
 from tallywing.operators.joins import dictionary_lookup
+from tallywing.operators.ranking import hash_sample
 from tallywing.operators.sampling import class_weight, fit_label_encoder, quick_split, stratified_split
 from tallywing.plans.corpus import rows
 from tallywing.plans.registry import on_transactions, register
@@ -237,8 +238,12 @@ def fm11_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("fm12_global_importance")
 def fm12_global_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, scored = scored_with_features(spark, sf_dir)
-    return A.global_importance(model, scored, "transaction_id")
+    """Over a sample of the held-out rows; only the sample is scored."""
+    model = trained_model(spark, sf_dir)
+    t = transactions(spark, sf_dir).select("transaction_id", S.TARGET_COLUMN, *S.FEATURE_COLUMNS)
+    held = stratified_split(t, S.TARGET_COLUMN, "transaction_id").filter("is_test").drop("is_test", S.TARGET_COLUMN)
+    scored = M.score(model, hash_sample(held, 1000, "transaction_id"), keep_features=True)
+    return A.global_importance(model, scored.select("transaction_id", "score", "fraud_probability", "features"), "transaction_id")
 
 
 @register("fm13_importance_bars")

@@ -119,22 +119,18 @@ def dq6_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.key_checks(events, "user_id")
 
 
-PROFILED = [
-    "transaction_type", "merchant_category", "receiver_age_group", "sender_bank", "device_type",
-    "network_type", "fraud_flag", "hour_of_day", "day_part",
-]
-
-
 @on_transactions(
     "dq7_profile",
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls,
-                   count(DISTINCT {c}) AS distinct_values FROM transactions"""
-        for c in PROFILED
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count("{c}") AS nulls,
+                   count(DISTINCT "{c}") AS distinct_values FROM transactions"""
+        for c in S.TRANSACTION_COLUMNS
     ),
+    state=True,
 )
 def dq7_profile(t: DataFrame) -> DataFrame:
-    return Q.profile(t, PROFILED, exact=True)
+    """All 21 columns, distinct values counted exactly."""
+    return Q.profile(t, S.TRANSACTION_COLUMNS, exact=True)
 
 
 @on_transactions("dq7_profile_approx", state=True)
