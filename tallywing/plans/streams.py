@@ -69,7 +69,12 @@ def st02_stream_fraud_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(done.drop("window_end"), "window_start")
 
 
-@register("st03_stream_ttl_dedupe")
+@register(
+    "st03_stream_ttl_dedupe",
+    """SELECT event_type, count(*) AS kept
+       FROM (SELECT event_type, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events)
+       WHERE gap IS NULL OR gap > INTERVAL 15 MINUTE GROUP BY 1""",
+)
 def st03_stream_ttl_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = R.stream_ttl_dedupe(R.stream_events(spark, sf_dir), ["user_id", "event_type"])
     return R.run_available(kept).groupBy("event_type").agg(rows("kept"))

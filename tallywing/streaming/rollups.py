@@ -6,9 +6,14 @@ of its input and gives the result as a table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallywing import schema as S
 from tallywing.functions import features as X
@@ -74,9 +79,29 @@ def stream_fraud_stats(
     return _flat(counted).withColumn("fraud_rate", rate)
 
 
-def stream_ttl_dedupe(t: DataFrame, keys: list[str], ttl: str = "15 minutes") -> DataFrame:
-    """Drop a row whose key was let through within `ttl`; state is kept no longer than that."""
-    return t.withWatermark(EVENT_TIME, ttl).dropDuplicatesWithinWatermark(keys)
+def stream_ttl_dedupe(t: DataFrame, keys: list[str], ttl_seconds: int = 900, delay: str = "1 day") -> DataFrame:
+    """Drop a row whose key occurred at most `ttl_seconds` before by event time, as `repeat_hits` marks it.
+
+    The state of a key is its latest time, compared row by row, so it makes no difference how the input is cut into
+    batches. It goes when the watermark has passed it by the time to live. Rows that arrive more than `delay` late are
+    not seen; one that arrives out of order is compared with the latest time in either direction.
+    """
+    ttl = ttl_seconds * 1_000_000
+
+    def keep(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(EVENT_TIME, kind="stable")
+        at = rows[EVENT_TIME].astype("datetime64[us]").astype("int64").to_numpy()
+        last = state.get[0] if state.exists else at[0] - ttl - 1
+        before = np.maximum.accumulate(np.concatenate([[last], at[:-1]]))
+        state.update((int(max(last, at[-1])),))
+        state.setTimeoutTimestamp(max(int(max(last, at[-1]) + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield rows[np.abs(at - before) > ttl]
+
+    marked = t.withWatermark(EVENT_TIME, delay)
+    return marked.groupBy(*keys).applyInPandasWithState(keep, t.schema, "latest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_slot_dedupe(t: DataFrame, keys: list[str], ttl: str = "15 minutes") -> DataFrame:

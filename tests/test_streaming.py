@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallywing.operators.conversations import repeat_hits
 from tallywing.sources.fixture import derive_transactions, table
 from tallywing.streaming import rollups as R
 
@@ -26,11 +27,15 @@ def test_many_batches_equal_one_table(spark, small, tmp_path):
     assert a == {(str(r.d), r.n, r.s) for r in batch.collect()}
 
 
-def test_ttl_dedupe_lets_a_key_through_again(spark, small, tmp_path):
+def test_ttl_dedupe_equals_the_batch_form_however_files_are_cut(spark, small, tmp_path):
     folder = in_files(spark, small, tmp_path)
-    kept = R.run_available(R.stream_ttl_dedupe(R.stream_events(spark, folder, files_per_trigger=1), ["event_type"]))
-    per_key = {r.event_type: r["count"] for r in kept.groupBy("event_type").count().collect()}
-    assert len(per_key) == 5 and all(1 < n <= 4 for n in per_key.values())
+    for keys, ttl in ((["event_type"], 900), (["user_id", "event_type"], 86_400)):
+        hits = repeat_hits(table(spark, small, "events"), keys, "ts", ttl)
+        want = {r.event_id for r in hits.where("not hit").collect()}
+        for files in (1, None):
+            kept = R.stream_ttl_dedupe(R.stream_events(spark, folder, files_per_trigger=files), keys, ttl, "40 days")
+            assert {r.event_id for r in R.run_available(kept).collect()} == want
+        assert 1 < len(want) < 1000
 
 
 def test_empty_stream(spark, small, tmp_path):
