@@ -10,7 +10,7 @@ from tallywing.operators import fraud_model as M
 from tallywing.plans.corpus import rows
 from tallywing.plans.models import trained_model
 from tallywing.plans.registry import register
-from tallywing.sources.fixture import table, with_transactions
+from tallywing.sources.fixture import home_states, table, with_transactions
 from tallywing.streaming import rollups as R
 
 
@@ -106,9 +106,9 @@ def st04_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("st04_stream_score_model")
 def st04_stream_score_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arriving transactions scored by the trained model; their unknown state takes code 0."""
+    """Arriving transactions scored by the trained model, with the state that the user table gives them."""
     model = trained_model(spark, sf_dir)
-    arriving = R.stream_transactions(spark, sf_dir).withColumn("sender_state", F.lit(None).cast("string"))
+    arriving = R.stream_transactions(spark, sf_dir).join(home_states(spark, sf_dir), "user_id", "left")
     scored = M.score(model, arriving.select("transaction_id", *S.FEATURE_COLUMNS))
     return R.run_available(scored.select("transaction_id", "fraud_probability", "risk_level", "prediction"))
 

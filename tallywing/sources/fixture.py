@@ -72,6 +72,15 @@ def derive_transactions(events: DataFrame, event_time: str = "spread") -> DataFr
     return X.with_derived_labels(flagged).drop("event_id")
 
 
+def home_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, sender_state) of every known user."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
+    return lookup(customer, nation, "c_nationkey").select(
+        "user_id", X.pick(S.STATES, F.col("c_nationkey") % 15).alias("sender_state")
+    )
+
+
 def transactions(
     spark: SparkSession, sf_dir: str, with_state: bool = True, event_time: str = "spread"
 ) -> DataFrame:
@@ -79,12 +88,7 @@ def transactions(
     fact = derive_transactions(table(spark, sf_dir, "events"), event_time)
     if not with_state:
         return fact.select(*[c for c in S.TRANSACTION_COLUMNS if c != "sender_state"])
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
-    home = lookup(
-        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey"),
-        nation,
-        "c_nationkey",
-    ).select("user_id", X.pick(S.STATES, F.col("c_nationkey") % 15).alias("sender_state"))
+    home = home_states(spark, sf_dir)
     # A left join: a payment of an unknown user stays, without a state.
     return lookup(fact, home, "user_id", "left").select(*S.TRANSACTION_COLUMNS)
 
