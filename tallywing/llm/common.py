@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,18 @@ def rows_by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(ids.toDF("other_id"), F.col("own_id") == F.col("other_id"), how).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Within it, what Spark sends to Python at a time has about `size` bytes; for tables of few, very wide rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written below the shared folder; those not needed by a result can be dropped."""
 

@@ -30,17 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywing.llm.common import Scratch, fold
+from tallywing.llm.common import Scratch, fold, small_batches
 from tallywing.llm.spans import Texts, mix, steps
 
 #: Order of the model by default; 1, 2 and 3 are possible.
 ORDER = 2
 
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 3 << 19
 
 #: Bytes that the n-grams of one part take, about.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 #: Held-out estimates are counted in steps of this many to a doubling; only the weights depend on it.
 FINENESS = 8
@@ -313,6 +313,11 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, order: int
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, learnt from those that
     aren't held out (by default, those whose crc32 of the id is not 2 modulo 7).
     """
+    with small_batches(docs.sparkSession):
+        return _score_documents(docs, held_out, order)
+
+
+def _score_documents(docs: DataFrame, held_out: Column | None, order: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     held_out = fold("doc_id", 7) == 2 if held_out is None else held_out
@@ -322,9 +327,10 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, order: int
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((sums["b"] or 0) / 4 * 9 * (order - 0.5) / PART_BYTES))
     replies, reply_path = scratch.write(answers(asked(chunked, order, parts)), "replies")
     words = replies.where("chunk = -1 and o = 1").agg(F.sum("known")).first()[0] or 0
-    rows, _ = scratch.write(counted(chunked, replies, order, parts), "counted")
+    rows, rows_path = scratch.write(counted(chunked, replies, order, parts), "counted")
     scratch.drop(chunk_path, reply_path)
     cells = held_out_statistics(rows, order, total, texts, 1 / (words + 1)).toArrow()
     learnt = learn_weights(np.stack([cells.column(x).to_numpy() for x in cells.column_names], axis=1), order) if len(cells) else {}
-    out = scores(rows, order, total, words, texts, weight_table(learnt, order))
+    out, _ = scratch.write(scores(rows, order, total, words, texts, weight_table(learnt, order)), "scores")
+    scratch.drop(rows_path)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
