@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from tallywing.plans import load_registry
 
-QUERIES = entry.queries()
+QUERIES = {name: q.build for name, q in load_registry().items()}
 
 
 def initial(df):
