@@ -1,9 +1,11 @@
 """Format-preserving pseudonyms for personal numbers, dates and mail names.
 
-A value is taken for personal only if it is valid: cards by their check digit, IBANs by theirs, phone and social
-security numbers by the ranges of their parts, addresses by octets, dates by the calendar. It is then numbered within
-the set of all values of its kind, the number is permuted by a keyed Feistel network, and the result is written in the
-format found. A pseudonym is itself valid, equal values have equal pseudonyms in all documents, and the key gives the value
+A value is taken for personal only if it is valid: cards by their check digit, IBANs by theirs, social security numbers
+by the ranges of their parts, addresses by octets, dates by the calendar. For a phone number a written country code or an
+area code in brackets is enough, whatever its digits; ten bare digits in groups must also have an area code and an exchange that
+don't begin with 0 or 1. The value is then numbered within the set of all values of its kind (phone numbers that begin a part
+with 0 or 1 are a set of their own), the number is permuted by a keyed Feistel network, and the result is written in the
+format found. A pseudonym is itself valid in the same sense, equal values have equal pseudonyms in all documents, and the key gives the value
 back (`back=True`; a day or month of one digit may come back with a zero in front).
 
 Kinds: mail (the name before the @, letters and digits in place), phone (North American numbers), card, iban, ssn, ip
@@ -141,7 +143,16 @@ def _swap_phone(s: str, move: Move) -> str | None:
     d = _digits(s)
     head, d = d[:-10], d[-10:]
     if d[0] in "01" or d[3] in "01":
-        return None
+        if not head and "(" not in s:
+            return None
+        # The other numbers of ten digits: first those with a small area code, then those with only a small exchange.
+        area, rest = int(d[:3]), int(d[3:])
+        x = area * 10_000_000 + rest if area < 200 else 2_000_000_000 + (area - 200) * 2_000_000 + rest
+        x = move(x, 3_600_000_000)
+        if x < 2_000_000_000:
+            return _refill(s, f"{head}{x:010d}")
+        area, rest = divmod(x - 2_000_000_000, 2_000_000)
+        return _refill(s, f"{head}{area + 200}{rest:07d}")
     x = ((int(d[0]) - 2) * 100 + int(d[1:3])) * 800 + (int(d[3]) - 2) * 100 + int(d[4:6])
     area, line = divmod(move(x * 10_000 + int(d[6:]), 800 * 800 * 10_000), 8_000_000)
     exchange, line = divmod(line, 10_000)

@@ -356,6 +356,30 @@ def test_pseudonyms_are_valid_and_permute():
         assert pii.swap_all(other, b"k")[0] == other
 
 
+def test_no_phone_of_a_written_format_stays(spark, medium, texts):
+    """Area codes and exchanges that begin with 0 or 1 too."""
+    written = re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}")
+    rows, found, small = pii.pseudonymise(table(spark, medium, "documents"), b"key").collect(), 0, 0
+    for r in rows:
+        old, new = written.findall(texts[r.doc_id] or ""), written.findall(r.text or "")
+        assert len(old) == len(new) == r.n_phone and all(a != b for a, b in zip(old, new, strict=True))
+        found, small = found + len(old), small + sum(p[4] in "01" or p[9] in "01" for p in old)
+    assert found > small > 0
+    rng = random.Random(8)
+    formats = ["+1 ({}) {}-{}", "({}) {}-{}", "1-{}-{}-{}", "+1.{}.{}.{}", "+1{} {} {}"]
+    edges = [("000", "000", "0000"), ("199", "999", "9999"), ("200", "000", "0000"), ("999", "199", "9999"), ("017", "555", "7713")]
+    numbers = edges + [tuple(f"{rng.randrange(10**n):0{n}d}" for n in (3, 3, 4)) for _ in range(300)]
+    for form in formats:
+        seen = set()
+        for number in numbers:
+            old = form.format(*number)
+            new, n = pii.swap_all(old, b"k")
+            assert n["phone"] == 1 and new != old and re.sub(r"\d", "d", new) == re.sub(r"\d", "d", old)
+            assert pii.swap_all(new, b"k", back=True)[0] == old
+            seen.add(new)
+        assert len(seen) == len(set(numbers))
+
+
 def test_pipeline_stages(spark, medium, texts):
     """Each stage judged on its own input."""
     docs, scratch, labels = table(spark, medium, "documents"), Scratch(spark, "t"), table(spark, medium, "labels")
