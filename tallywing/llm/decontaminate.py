@@ -1,11 +1,12 @@
 """Benchmark decontamination. DataFrame and SQL functions only.
 
 A document is contaminated by an item if one of its windows of the item's length reaches the similarity: the weighted
-Jaccard similarity of the shingles of both, a shingle weighing as often as it occurs. A window is looked at where a
-shingle it shares with the item stands at the same place in both; windows that share none can't be similar.
+Jaccard similarity of the shingles of both, a shingle weighing as often as it occurs. Every window
+that shares a shingle with an item of its length is looked at, wherever the shingle stands in the two: parts may have changed
+places. A window that shares no shingle has similarity 0.
 
-1. Items become rows (shingle hash, item, place). The hashes of all shingles of all whole texts are looked up in them,
-   which gives the windows. Items are taken in blocks of bounded size, so that a block can be sent to every executor.
+1. Items become rows (shingle hash, length). The hashes of all shingles of all whole texts are looked up in them; the windows
+   of that length that hold the shingle, whatever their start, are the ones to fingerprint. Items are taken in blocks of bounded size, so that a block can be sent to every executor.
 2. A window and an item of the same length have SimHash fingerprints. Cut into RADIUS + 1 blocks, two fingerprints
    that differ in at most RADIUS bits agree in one block at least: pairs are joined on (length, block, bits), and
    those within the radius stay.
@@ -13,6 +14,8 @@ shingle it shares with the item stands at the same place in both; windows that s
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered, shingles have five words; an item with fewer has its whole sequence
 as its only shingle. Windows at the border of a text are cut there.
+All of them count; but a cut window of which no shared shingle stands at its place in the item is reported only where no other
+window of the document reaches the similarity, as it gains by the words that the cut leaves out.
 
 Defined cases: NULL and empty texts and items have no words and match nothing; items of equal words each match; rows
 repeated in `docs` give the same rows once; an empty table on either side gives an empty result; further columns
@@ -94,16 +97,16 @@ def item_rows(items: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(doc_id, item_n, start, w): the windows of `docs` that share a k-word shingle with an item in `rows` at its place.
+    """(doc_id, item_n, start, w): all windows of `docs` that hold a k-word shingle of an item in `rows` of their length.
 
     `start` is below 0 where a window would begin before its text.
     """
-    places = rows.select("n", F.posexplode_outer(gram_hashes("w", k)).alias("place", "gram")).where("gram is not null").distinct()
+    grams = rows.select("n", F.explode_outer(gram_hashes("w", k)).alias("gram")).where("gram is not null").distinct()
     texts = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("grams", gram_hashes("w", k))
     found = (
         texts.select("doc_id", "w", F.posexplode_outer("grams").alias("at", "gram"))
-        .join(F.broadcast(places), "gram")  # `rows` is one block: a fixed bound
-        .withColumn("start", F.col("at") - F.col("place"))
+        .join(F.broadcast(grams), "gram")  # `rows` is one block: a fixed bound
+        .select("doc_id", "w", "n", F.explode(F.expr(f"sequence(at + {k} - n, at)")).alias("start"))
         .withColumn("begin", F.greatest("start", F.lit(0)))
         .select("doc_id", F.col("n").alias("item_n"), "start", F.expr("slice(w, begin + 1, n + start - begin)").alias("w"))
     )
@@ -113,7 +116,8 @@ def windows(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, item_id, start, shared, total) of the best window per document and item that is similar enough.
 
-    shared and total are the two counts whose ratio is the similarity; ties go to the first window.
+    shared and total are the two counts whose ratio is the similarity. Windows that are whole, or hold a shared shingle at
+    its place in the item (`aligned`), come before others; ties go to the aligned ones, then to the first window.
     """
     rows = item_rows(items)
     sizes = rows.select(F.max("k").alias("k"), F.count("*").alias("n"), F.sum("n").alias("words")).first()
@@ -129,7 +133,7 @@ def matches(docs: DataFrame, items: DataFrame, similar: int = SIMILAR) -> DataFr
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    best = F.max_by(F.struct("start", "shared", "total"), F.struct(F.col("shared") / F.col("total"), -F.col("start")))
+    best = F.max_by(F.struct("start", "shared", "total"), F.struct("proper", F.col("shared") / F.col("total"), "aligned", -F.col("start")))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
@@ -160,11 +164,12 @@ def _matches(docs: DataFrame, rows: DataFrame, k: int, similar: int) -> DataFram
     shared = f"aggregate(array_distinct(sh), 0L, (n, s) -> n + least({count.format('sh')}, {count.format('item_sh')}))"
     aligned = "exists(sequence(0, size(sh) - 1), j -> get(sh, j) = get(item_sh, j - least(start, 0)))"
     return (
-        near.where(F.expr(aligned))
+        near.withColumn("aligned", F.expr(aligned))
+        .withColumn("proper", F.expr("aligned or size(sh) = size(item_sh)"))
         .withColumn("shared", F.expr(shared))
         .withColumn("total", F.expr("cast(size(sh) + size(item_sh) as long) - shared"))
         .where(F.col("shared") * 100 >= F.col("total") * similar)
-        .select("doc_id", "item_id", F.greatest("start", F.lit(0)).alias("start"), "shared", "total")
+        .select("doc_id", "item_id", F.greatest("start", F.lit(0)).alias("start"), "shared", "total", "aligned", "proper")
     )
 
 

@@ -125,6 +125,42 @@ def test_jaccard_second_blocks_alone_find_all_links(spark, monkeypatch):
     assert sorted(tuple(r) for r in jaccard.link_documents(docs).collect()) == expected
 
 
+def test_decontamination_looks_at_all_starts(spark):
+    """Every window against every item, also where parts of the item have changed places."""
+    rng = random.Random(6)
+    items = [[f"i{i}w{j}" for j in range(n)] for i, n in enumerate([60, 60, 40, 24, 15])]
+    rows = []
+    for i, w in enumerate(items):
+        half, third = len(w) // 2, len(w) // 3
+        copies = [w, w[half:] + w[:half], w[2 * third :] + w[third : 2 * third] + w[:third], w[: half - 1] + ["x"] + w[half:], w[:half] + ["y"] + w[half:], w[3:]]
+        for copy in copies:
+            for before in (0, 7):
+                own = [f"d{rng.randrange(10**9)}" for _ in range(before)] + copy + [f"e{rng.randrange(10**9)}" for _ in range(before)]
+                rows.append((len(rows), " ".join(own)))
+    want = {}
+    for d, text in rows:
+        w = text.split()
+        for i, item in enumerate(items):
+            n, best = len(item), (False, 0)
+            own = Counter(tuple(item[j : j + 5]) for j in range(n - 4))
+            for start in range(5 - n, len(w) - 4):
+                part = w[max(start, 0) : n + start]
+                there = Counter(tuple(part[j : j + 5]) for j in range(len(part) - 4))
+                shared = (there & own).total()
+                total = there.total() + own.total() - shared
+                if shared * 100 >= total * decontaminate.SIMILAR:
+                    aligned = any(part[j : j + 5] == item[j - min(start, 0) :][:5] for j in range(len(part) - 4))
+                    best = max(best, (aligned or len(part) == n, shared / total))
+            if best[1]:
+                want[d, i] = best[1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table_ = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = decontaminate.matches(docs, table_)
+    assert found.columns == ["doc_id", "item_id", "start", "shared", "total"]
+    assert {(r.doc_id, r.item_id): r.shared / r.total for r in found.collect()} == want
+    assert (2, 0) in want and (3, 0) in want  # the halves of 30 words swapped
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(60)]
