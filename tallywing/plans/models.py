@@ -193,11 +193,11 @@ def fm15_train_rule_eval(t: DataFrame) -> DataFrame:
 
 # The model of each data folder, trained once per session on its training rows.
 _MODELS: dict[tuple[str, str], str] = {}
-TREES = 20
+TREES = 200
 
 
 def trained_model(spark: SparkSession, sf_dir: str) -> M.FraudModel:
-    """A small model of the folder's transactions, saved to the shared folder and loaded from there."""
+    """The model of the folder's transactions, saved to the shared folder and loaded from there."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _MODELS:
         t = M.select_features(transactions(spark, sf_dir), "transaction_id")

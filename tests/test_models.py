@@ -167,6 +167,10 @@ def test_unknown_metric_is_refused(spark, small):
         P.forecast_response(order_series(spark, small), "volume")
 
 
+def test_named_queries_train_as_many_trees_as_the_reference(spark, small):
+    assert trained_model(spark, small).trees.getNumTrees == 200
+
+
 def test_nearest_in_blocks_against_brute_force(spark):
     rng = np.random.default_rng(6)
     corpus, queries = rng.normal(size=(300, 8)), rng.normal(size=(23, 8))
