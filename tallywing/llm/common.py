@@ -51,6 +51,10 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def exists(self, path: str) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
     def drop(self, *paths: str) -> None:
         hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import decontaminate, embeddings, jaccard, lines, lm, packing, pii, quality, sharding, toxicity
+from tallywing.llm import audit, codes, decontaminate, embeddings, jaccard, langid, lines, lm, packing, pii, quality, sharding, toxicity
 from tallywing.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -178,3 +178,90 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity grade of every document; learnt from the labels that are not held out."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _codes_sql() -> str:
+    """Codes in DuckDB: all distances of all rounds, as one chain of tables."""
+    far = "list_sum(list_transform(range(1, len(a.y) + 1), lambda i: (a.y[i] - b.y[i]) * (a.y[i] - b.y[i])))"
+    nearest = f"SELECT a.r, a.p, min(CAST({far} AS BIGINT) * 256 + b.e) AS k FROM part a JOIN book{{0}} b USING (p) GROUP BY 1, 2"
+    rounds = "".join(
+        f""", near{i} AS ({nearest.format(i)}),
+        mean{i} AS (SELECT p, e, list(m ORDER BY i) AS y FROM (
+            SELECT p, k % 256 AS e, i, CAST(floor(sum(y[i]) / count(*)) AS BIGINT) AS m
+            FROM near{i} JOIN part USING (r, p), LATERAL (SELECT unnest(range(1, len(y) + 1)) AS i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        book{i + 1} AS (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM book{i} b LEFT JOIN mean{i} m USING (p, e))"""
+        for i in range(codes.ROUNDS)
+    )
+    last = codes.ROUNDS
+    return f"""WITH v AS (
+      SELECT row_number() OVER (ORDER BY vec_id, x) - 1 AS r, * FROM (
+        SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding))
+    ), part AS (
+      SELECT r, p, list_slice(x, p * (len(x) // 4) + 1, (p + 1) * (len(x) // 4)) AS y FROM v, range(0, 4) t(p)
+    ), book0 AS (SELECT p, r AS e, y FROM part WHERE r < 256){rounds}, found AS ({nearest.format(last)}),
+    coded AS (
+      SELECT vec_id, label, string_agg(lpad(format('{{:x}}', k % 256), 2, '0'), '' ORDER BY p) AS code, CAST(sum(k // 256) AS BIGINT) AS error
+      FROM found JOIN v USING (r) GROUP BY r, vec_id, label
+    ), print AS (
+      SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{last}
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, print"""
+
+
+@query("op11_codes", _codes_sql())
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code, its error and that of its label, and a digest of the codebooks."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+# The audit in DuckDB: every filter on every row at once.
+AUDIT_SQL = """
+WITH label AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1
+), doc AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+          'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+          'E': coalesce(doc.doc_id > min(doc.doc_id) OVER (PARTITION BY t), false)} AS f
+  FROM doc LEFT JOIN label USING (doc_id)
+), masked AS (
+  SELECT part, good, toxic, f.A AS A, f.B AS B, f.C AS C, f.D AS D, f.E AS E, count(*) AS n FROM failed GROUP BY ALL
+), letter AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), filter_orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), each AS (
+  SELECT part, good, toxic, n, filter_order, step, filter_order[step] AS own,
+         list_filter([if(A, 'A', ''), if(B, 'B', ''), if(C, 'C', ''), if(D, 'D', ''), if(E, 'E', '')], lambda x: x <> '') AS fails,
+         left(filter_order, step - 1) AS earlier
+  FROM masked, filter_orders, range(1, 6) s(step)
+), judged AS (
+  SELECT *, list_contains(fails, own) AS hit, len(list_filter(fails, lambda x: contains(earlier, x))) > 0 AS gone FROM each
+), counted AS (
+  SELECT part, filter_order, step, own, sum(if(hit OR gone, 0, n)) AS kept, sum(if(hit AND NOT gone, n, 0)) AS removed,
+         sum(if(hit AND gone, n, 0)) AS redundant, sum(if(hit AND len(fails) = 1, n, 0)) AS unique_fails,
+         sum(if(hit AND NOT gone, n * good, 0)) AS good_lost, sum(if(hit AND NOT gone, n * toxic, 0)) AS toxic_lost
+  FROM judged GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, in every part and order."""
+    return audit.audit(spark, f"{sf_dir}/documents.parquet*", table(spark, sf_dir, "labels"))
+
+
+@query("op13_language")
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learnt from those that are not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))
