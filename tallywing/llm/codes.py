@@ -36,8 +36,8 @@ from tallywing.llm.common import Scratch
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 
-#: Entries of a list that are looked at in one step.
-STEP = 16
+#: Entries of a list that are looked at in one step, and entries of which the nearest one is where a search begins.
+STEP, PILOTS = 64, 16
 
 #: Labels whose sums are sent to every executor, at most.
 LABELS = 1_000_000
@@ -66,38 +66,63 @@ def nearest(book: Book, parts: np.ndarray, start: np.ndarray | None = None) -> t
         parts, entries = parts.astype(np.float64), entries.astype(np.float64)  # exact, and products of matrices are fast
     own_square, entry_square = (parts * parts).sum(axis=1), (entries * entries).sum(axis=1)
     seen = np.zeros((n, size), bool)
-    at = np.zeros(n, np.int64) if start is None else start.astype(np.int64)
     rows = np.arange(n)
-    far = own_square - 2 * (parts * entries[at]).sum(axis=1) + entry_square[at]
-    seen[rows, at] = True
-    best, looked = at.copy(), n
-    waiting = {int(c): rows[at == c] for c in np.unique(at)}
-    while waiting:
-        c, here = waiting.popitem()
-        order, gap = book.lists[c], book.apart[c][book.lists[c]]
-        for i in range(0, size, STEP):
-            # The list is done for a part once the next entry is beyond twice its distance (four times the square).
-            here = here[gap[i] <= 4 * far[here]]
-            if not len(here):
-                break
-            these = order[i : i + STEP]
-            fresh = ~seen[np.ix_(here, these)] & (gap[None, i : i + STEP] <= 4 * far[here][:, None])
-            d = own_square[here][:, None] - 2 * (parts[here] @ entries[these].T) + entry_square[these][None, :]
-            looked += int(fresh.sum())
-            seen[np.ix_(here, these)] |= fresh
-            d = np.where(fresh, d, np.inf if d.dtype == np.float64 else np.iinfo(np.int64).max)
-            near = d.min(axis=1)
-            index = np.where(d == near[:, None], these[None, :], size).min(axis=1)
-            tie = (near == far[here]) & (index < best[here])
-            best[here[tie]] = index[tie]
-            jump = near < far[here]
-            if jump.any():
-                moved, to = here[jump], index[jump]
-                far[moved], best[moved] = near[jump], to
-                for e in np.unique(to):
-                    more = moved[to == e]
-                    waiting[int(e)] = np.concatenate([waiting[int(e)], more]) if int(e) in waiting else more
-                here = here[~jump]
+    if start is None:
+        pilots = np.arange(0, size, max(size // PILOTS, 1))
+        d = own_square[:, None] - 2 * (parts @ entries[pilots].T) + entry_square[pilots][None, :]
+        at, far, looked = pilots[d.argmin(axis=1)], d.min(axis=1), d.size
+        seen[:, pilots] = True
+    else:
+        at, looked = start.astype(np.int64), n
+        far = own_square - 2 * (parts * entries[at]).sum(axis=1) + entry_square[at]
+        seen[rows, at] = True
+    best = at.copy()
+    most = np.inf if parts.dtype == np.float64 else np.iinfo(np.int64).max
+    # Parts that wait for the list of their entry; a round takes the waiting ones of one entry after the other.
+    while len(rows):
+        rows = rows[np.argsort(at[rows], kind="stable")]
+        begins = np.flatnonzero(np.diff(at[rows], prepend=-1))
+        moved_on = []
+        for here in np.split(rows, begins[1:]):
+            c = at[here[0]]
+            order = book.lists[c]
+            gap = book.apart[c][order]
+            for i in range(0, size, STEP):
+                # The list is done for a part once the next entry is beyond twice its distance (four times the square).
+                reach = 4 * far[here]
+                on = gap[i] <= reach
+                if not on.all():
+                    here, reach = here[on], reach[on]
+                    if not len(here):
+                        break
+                these = order[i : i + STEP]
+                cell = here[:, None] * size + these[None, :]
+                fresh = ~seen.ravel()[cell] & (gap[None, i : i + STEP] <= reach[:, None])
+                looked += int(np.count_nonzero(fresh))
+                seen.ravel()[cell[fresh]] = True
+                d = own_square[here][:, None] - 2 * (parts[here] @ entries[these].T) + entry_square[these][None, :]
+                d[~fresh] = most
+                near, now = d.min(axis=1), far[here]
+                close = near <= now
+                if not close.any():
+                    continue
+                index = np.where(d[close] == near[close][:, None], these[None, :], size).min(axis=1)
+                to = here[close]
+                # Equally near: the lower index counts, the list goes on. Nearer: on to that entry's list.
+                jump = near[close] < now[close]
+                tie = ~jump & (index < best[to])
+                best[to[tie]] = index[tie]
+                if jump.any():
+                    gone = to[jump]
+                    far[gone] = near[close][jump]
+                    best[gone] = at[gone] = index[jump]
+                    moved_on.append(gone)
+                    stay = np.ones(len(here), bool)
+                    stay[np.flatnonzero(close)[jump]] = False
+                    here = here[stay]
+                    if not len(here):
+                        break
+        rows = np.concatenate(moved_on) if moved_on else rows[:0]
     return best, far.astype(np.int64), looked
 
 
@@ -125,13 +150,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.int64).reshape(len(column), -1)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Rows with their numbers, about `limit` of these at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows with their numbers, about `limit` of these at a time: parts at one entry then come in large groups."""
+
+    def joined(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        whole = pa.concat_batches(parts)
+        return whole, _matrix(whole.column("x"))
+
+    waiting, size = [], 0
     for batch in batches:
         width = len(batch.column("x")[0]) if batch.num_rows else 1
-        for i in range(0, batch.num_rows, max(limit // width, 64)):
-            part = batch.slice(i, max(limit // width, 64))
-            yield part, _matrix(part.column("x"))
+        step = max(limit // width, 64)
+        for i in range(0, batch.num_rows, step):
+            waiting.append(batch.slice(i, step))
+            size += waiting[-1].num_rows * width
+            if size >= limit:
+                yield joined(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield joined(waiting)
 
 
 def _assign(x: np.ndarray, books: list[Book]) -> tuple[np.ndarray, np.ndarray]:

@@ -61,7 +61,7 @@ def test_orchard_finds_the_nearest_entry(seed, big):
     d = ((parts[:, None, :] - entries[None, :, :]) ** 2).sum(axis=2)
     assert (far == d.min(axis=1)).all()
     assert (at == d.argmin(axis=1)).all()
-    assert looked < 0.7 * d.size  # the triangle inequality spares distances
+    assert looked < 0.8 * d.size  # the triangle inequality spares distances
 
 
 def test_codes_equal_the_definition(spark):
