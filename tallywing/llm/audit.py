@@ -7,7 +7,7 @@ text, anywhere in the table. Which a row fails is its mask, a bit per filter.
 The files of the table are a stream, read to its end in a fixed number of micro-batches. A to D follow from a text alone. E
 may change: the state of a text (keyed by its SHA-256) is the smallest id so far and what the rows with it are counted as.
 Rows with a larger id fail E at once; when a smaller id arrives, the rows counted before are retracted from the mask without E
-and counted under the one with it. Every micro-batch writes the sums of its changes per part, mask and label to a folder of its own,
+and counted under the one with it. The states of about BUCKET texts are one row of the state store, and change together. Every micro-batch writes the sums of its changes per part, mask and label to a folder of its own,
 which a repeated micro-batch overwrites; the sum over all folders is the same whatever the order of files and batches.
 
 `interactions` derives all orders from these counters, at most 32 masks a part: a step removes the rows that fail its
@@ -24,11 +24,12 @@ gives an empty result; only doc_id, text and lang are read, whatever else the fi
 
 from __future__ import annotations
 
-import json
+import io
 from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,9 @@ DOCS = "doc_id long, text string, lang string"
 #: Texts, parts and labels of a task that are combined at a time.
 PENDING = 100_000
 
+#: Rows of the table for each bucket of texts; the number of buckets follows from the number of rows.
+BUCKET = 2_000
+
 
 def own_mask(text: Column) -> Column:
     """Bits of the filters A to D that a text fails; the text is not NULL."""
@@ -102,38 +106,31 @@ def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _changes(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters by the new rows of one text; those counted as first before are retracted for a smaller id."""
-    rows = [r for pdf in frames for r in zip(*(pdf[c].tolist() for c in ("part", "flags", "mask", "named", "low", "firsts", "n")), strict=True)]
-    mask = rows[0][2]
-    change: dict[tuple[str, int, int], int] = {}
-
-    def add(part: str, flags: int, mask: int, n: int) -> None:
-        change[part, flags, mask] = change.get((part, flags, mask), 0) + n
-
-    named = [r for r in rows if r[3]]
-    for part, flags, _, is_named, _, _, n in rows:
-        add(part, flags, mask | (REPEATED if is_named else 0), n)
-    if named:
-        least, first = state.get if state.exists else (None, "{}")
-        new = min(r[4] for r in named)
-        counted = json.loads(first)
-        if least is not None and new < least:
-            for place, n in counted.items():
-                part, flags = json.loads(place)
-                add(part, flags, mask, -n)
-                add(part, flags, mask | REPEATED, n)
-            counted = {}
-        if least is None or new <= least:
-            for part, flags, _, _, low, firsts, _ in named:
-                if low == new:
-                    place = json.dumps([part, flags])
-                    counted[place] = counted.get(place, 0) + firsts
-                    add(part, flags, mask | REPEATED, -firsts)
-                    add(part, flags, mask, firsts)
-            state.update((new, json.dumps(counted)))
-    out = [(p, f, m, n) for (p, f, m), n in change.items() if n]
-    if out:
-        yield pd.DataFrame(out, columns=["part", "flags", "mask", "n"])
+    """Changes of the counters by the new rows of a bucket of texts.
+
+    The state holds, for each text, the least id so far and the rows that have it. Where a smaller id arrives, the old rows
+    are retracted: they fail E from now on.
+    """
+    new = pd.concat(list(frames), ignore_index=True).drop(columns="bucket")
+    named = new["named"].to_numpy()
+    by = ["part", "flags", "mask"]
+    changes = [new[by].assign(mask=new["mask"] | np.where(named, REPEATED, 0), n=new["n"])]
+    own = ["key", "low", *by, "firsts"]
+    rows = new.loc[named, own]
+    if len(rows):
+        old = pd.read_feather(io.BytesIO(state.get[0])) if state.exists else rows.iloc[:0]
+        both = pd.concat([old, rows], ignore_index=True)
+        first = (both["low"] == both.groupby("key", sort=False)["low"].transform("min")).to_numpy()
+        was = np.arange(len(both)) < len(old)
+        for which, sign in ((was & ~first, -1), (~was & first, 1)):
+            moved = both.loc[which]
+            changes.append(moved[by].assign(n=sign * moved["firsts"]))
+            changes.append(moved[by].assign(mask=moved["mask"] | REPEATED, n=-sign * moved["firsts"]))
+        kept = both[first].groupby(["key", "low", *by], sort=False, as_index=False)["firsts"].sum()
+        raw = io.BytesIO()
+        kept.to_feather(raw, compression="zstd")
+        state.update((raw.getvalue(),))
+    yield pd.concat(changes, ignore_index=True).groupby(by, sort=False, as_index=False)["n"].sum()
 
 
 @contextmanager
@@ -145,6 +142,7 @@ def _state_on_disk(spark: SparkSession) -> Iterator[None]:
         base + "rocksdb.boundedMemoryUsage": "true",
         base + "rocksdb.maxMemoryUsageMB": "256",
         base + "rocksdb.changelogCheckpointing.enabled": "true",
+        base + "rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
@@ -179,8 +177,10 @@ def counters(spark: SparkSession, files: str, labels: DataFrame, batches: int =
     flags, flags_path = scratch.write(flags_of(labels), "flags")
     found = len(spark.read.schema(DOCS).parquet(files).inputFiles())
     docs = spark.readStream.schema(DOCS).option("maxFilesPerTrigger", max(1, -(-found // batches))).parquet(files)
-    changes = masked(docs, flags).groupBy("key").applyInPandasWithState(
-        _changes, "part string, flags int, mask int, n long", "low long, firsts string", "update", GroupStateTimeout.NoTimeout
+    buckets = spark.read.schema(DOCS).parquet(files).count() // BUCKET + 1
+    rows = masked(docs, flags).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    changes = rows.groupBy("bucket").applyInPandasWithState(
+        _changes, "part string, flags int, mask int, n long", "texts binary", "update", GroupStateTimeout.NoTimeout
     )
     folder, progress = scratch_path(spark, "audit-changes"), scratch_path(spark, "audit-progress")
 
