@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywing.operators.joins import union_by_name
+from tallywing.session import remove, scratch_path
 
 PASS, FAIL, SQL_ERROR, ERROR = "PASS", "FAIL", "SQL_ERROR", "ERROR"
 
@@ -86,53 +88,103 @@ class Case:
     candidate: Callable[[], DataFrame] | None
 
 
-def _attempt(run: Callable[[], DataFrame] | None) -> DataFrame | None:
-    if run is None:
-        return None
+def _texts(gold: DataFrame, other: DataFrame | None) -> list[DataFrame]:
+    """Both results as one column `row`, an array of texts that are equal just where the values are."""
+    sides = [gold] if other is None else [gold, other]
+    alone = len(sides) == 1 or len(gold.columns) != len(other.columns)
+    if alone:
+        columns = [[F.col(f"c{i}").cast("string") for i in range(len(df.columns))] for df in sides]
+    else:
+        columns = [list(c) for c in _comparable(gold, other)]
+        for i, types in enumerate(zip(*[[f.dataType for f in df.schema.fields] for df in sides])):
+            if all(isinstance(t, (T.NumericType, T.BooleanType)) for t in types):
+                # Whole numbers and equal decimals keep all digits; else numbers meet as doubles, 0 without a sign.
+                whole = all(isinstance(t, (T.IntegralType, T.BooleanType)) for t in types)
+                exact = whole or types[0] == types[1] and isinstance(types[0], T.DecimalType)
+                for c in columns:
+                    c[i] = c[i].cast("long") if whole else c[i] if exact else c[i].cast("double") + F.lit(0.0)
+        columns = [[c.cast("string") for c in cs] for cs in columns]
+    return [
+        df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(F.array(*cs).cast("array<string>").alias("row"))
+        for df, cs in zip(sides, columns)
+    ]
+
+
+def _attempt(case: Case) -> tuple[str | None, DataFrame | None]:
+    """What becomes of a candidate before it is run."""
+    if case.candidate is None:
+        return ERROR, None
     try:
-        return run()
+        df = case.candidate()
+        df.schema  # the analyzer sees it here at the latest
+        return None, df
     except PySparkException:
-        return None
+        return SQL_ERROR, None
 
 
-def run_benchmark(spark: SparkSession, cases: list[Case]) -> DataFrame:
-    """Outcome of every case: (id, category, status, gold_rows, gen_rows).
+def _run_queries(case: Case, folder: str) -> str | None:
+    """Run both queries of a case once, each into a table of its own below `folder`; a status if there is no result to compare.
 
-    Queries the analyzer rejects are marked at once; all comparisons are parts of
-    one plan. A candidate that fails only while running fails this plan: use
-    `run_case` for such candidates.
+    A gold query that fails is an error of the benchmark and is raised.
     """
-    parts = []
-    for case in cases:
-        gold, other = case.gold(), _attempt(case.candidate)
-        if other is None:
-            summary = gold.agg(F.count("*").alias("gold_rows")).select(
-                "gold_rows", F.lit(0).cast("long").alias("gen_rows"), F.lit(False).alias("matched")
-            )
-        else:
-            summary = match_summary(gold, other)
-        status = classify_outcome(F.lit(case.candidate is not None), F.lit(other is not None), F.col("matched"))
-        parts.append(
-            summary.select(
-                F.lit(case.id).alias("id"), F.lit(case.category).alias("category"),
-                status.alias("status"), "gold_rows", "gen_rows",
-            )
-        )
-    return union_by_name(*parts)
+    status, other = _attempt(case)
+    texts = _texts(case.gold(), other)
+    texts[0].write.parquet(f"{folder}/side=gold")
+    if other is not None:
+        try:
+            texts[1].write.parquet(f"{folder}/side=candidate")
+        except (PySparkException, Py4JError):  # it failed while running
+            status = SQL_ERROR
+    return status
+
+
+def digests(results: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, a, b): the number of rows of each result and two sums of their hashes, whatever their order.
+
+    `results` has a column `row`. Equal results have equal digests; sums are combined per task before the shuffle.
+    """
+    sums = [F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(38,0)")).alias(k) for seed, k in ((1, "a"), (2, "b"))]
+    return results.groupBy(*by).agg(F.count("*").alias("n"), *sums)
+
+
+def _differing(results: DataFrame) -> DataFrame:
+    """(case): those whose two results don't hold each row equally often."""
+    copies = [F.count_if(F.col("side") == s).alias(s) for s in ("gold", "candidate")]
+    return results.groupBy("case", "row").agg(*copies).where("gold != candidate").select("case").distinct()
+
+
+def run_benchmark(spark: SparkSession, cases: list[Case], path: str, at_once: int = 8) -> DataFrame:
+    """Outcome of every case: (id, category, status, gold_rows, gen_rows), written to `path`.
+
+    The queries of each case run apart from the others, a few cases at a time; a candidate that fails, when it is analysed
+    or while it runs, gets its status and the others go on. All results are then compared together: by digests, which
+    settle a mismatch without a shuffle of rows, and, where these are equal, by counting every row of both sides.
+    """
+    folder = scratch_path(spark, "benchmark-results")
+    with ThreadPoolExecutor(at_once) as pool:
+        early = list(pool.map(lambda i: _run_queries(cases[i], f"{folder}/case={i}"), range(len(cases))))
+    results = spark.read.schema("row array<string>, case int, side string").parquet(folder) if cases else None
+    found = {(r["case"], r["side"]): (r["n"], r["a"], r["b"]) for r in digests(results, ["case", "side"]).collect()} if cases else {}
+    none = (0, None, None)
+    sides = [(found.get((i, "gold"), none), found.get((i, "candidate"), none)) for i in range(len(cases))]
+    equal = [i for i, (gold, other) in enumerate(sides) if early[i] is None and gold == other]
+    wrong = {r["case"] for r in _differing(results.where(F.col("case").isin(equal))).collect()} if equal else set()
+    outcomes = [
+        (case.id, case.category, early[i] or (PASS if i in set(equal) - wrong else FAIL), sides[i][0][0], 0 if early[i] else sides[i][1][0])
+        for i, case in enumerate(cases)
+    ]
+    done = spark.createDataFrame(outcomes, "id string, category string, status string, gold_rows long, gen_rows long")
+    done.coalesce(1).write.mode("overwrite").parquet(path)
+    remove(spark, folder)
+    return spark.read.schema(done.schema).parquet(path)
 
 
 def run_case(spark: SparkSession, case: Case) -> str:
-    """Outcome of one case, run on its own so that a failure while running is caught."""
-    other = _attempt(case.candidate)
-    if case.candidate is None:
-        return ERROR
-    if other is None:
-        return SQL_ERROR
-    try:
-        other.write.format("noop").mode("overwrite").save()
-    except PySparkException:
-        return SQL_ERROR
-    return PASS if results_match(case.gold(), other) else FAIL
+    """Outcome of one case."""
+    path = scratch_path(spark, "benchmark-outcome")
+    status = run_benchmark(spark, [case], path).first()["status"]
+    remove(spark, path)
+    return status
 
 
 def scoreboard(results: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -51,6 +52,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallywing/{label}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _place(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    for path in paths:
+        where, files = _place(spark, path)
+        files.delete(where, True)
+
+
+def fingerprint_of_files(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names, sizes and times of these files; another one when a table is written anew."""
+    known = []
+    for path in sorted(paths):
+        where, files = _place(spark, path)
+        status = files.getFileStatus(where)
+        known.append(f"{path} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.md5("\n".join(known).encode()).hexdigest()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let iterative jobs cut their lineage in the shared folder."""
     context = spark.sparkContext

@@ -171,6 +171,68 @@ def test_run_case_catches_failures_while_running(spark):
     assert E.run_case(spark, E.Case("4", "c", gold, lambda: gold().limit(0))) == "FAIL"
 
 
+def test_digest_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(["x", "1"],), (["y", None],), (["x", "1"],), ([None, "-3"],)]
+    digest = lambda rows, parts=1: [tuple(r) for r in E.digests(frame(spark, rows, "row array<string>").repartition(parts), []).collect()]
+    assert digest(rows) == digest(rows[::-1], 3) and digest(rows)[0][0] == 4
+    assert digest(rows) != digest(rows[:3]) and digest(rows) != digest([*rows[:2], rows[1], rows[3]])
+
+
+def test_equal_digests_are_confirmed_by_counting(spark, monkeypatch):
+    one, two = (lambda n=n: frame(spark, [(n,), (3,)], "a long") for n in (2**60, 2**60 + 1))
+    assert E.run_case(spark, E.Case("1", "c", one, two)) == "FAIL"
+    none = lambda results, by: results.groupBy(*by).agg(F.count("*").alias("n"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    monkeypatch.setattr(E, "digests", none)  # all results of one size clash
+    assert E.run_case(spark, E.Case("1", "c", one, two)) == "FAIL"
+    assert E.run_case(spark, E.Case("2", "c", one, one)) == "PASS"
+
+
+@pytest.mark.parametrize("a,b,same", [
+    ([(1,)], [(1.0,)], True), ([(True,)], [(1,)], True), ([(0.0,)], [(-0.0,)], True), ([(float("nan"),)], [(float("nan"),)], True),
+    ([("1",)], [(1,)], False), ([(2.5,)], [(2,)], False), ([("a", 1)], [("a",)], False),
+])
+def test_values_of_a_case(spark, a, b, same):
+    gold, other = lambda: spark.createDataFrame(a), lambda: spark.createDataFrame(b)
+    assert E.run_case(spark, E.Case("1", "c", gold, other)) == ("PASS" if same else "FAIL")
+    assert E.results_match(gold(), other()) == same
+
+
+def test_benchmark_goes_on_after_failures(spark):
+    from tallywing.session import scratch_path
+
+    gold = lambda: frame(spark, [("x", 1), ("x", 1), (None, 2)])
+    cases = [
+        E.Case("fails while running", "c", gold, lambda: gold().select(F.col("a").cast("int"), "n")),
+        E.Case("is rejected", "c", gold, lambda: gold().select("no_such_column")),
+        E.Case("is missing", "d", gold, None),
+        E.Case("loses a copy", "d", gold, lambda: gold().distinct()),
+        E.Case("is right", "d", gold, lambda: gold().orderBy("n").toDF("n", "a").select(F.col("n").alias("p"), F.col("a").cast("double"))),
+        E.Case("names a column twice", "d", gold, lambda: gold().select("a", F.col("n").alias("a"))),
+        E.Case("has an untyped column", "d", lambda: gold().limit(1).select(F.lit(None)), lambda: gold().limit(1).select(F.lit(None))),
+        E.Case("has no rows", "d", lambda: gold().limit(0), lambda: gold().limit(0).select("n", "a")),
+        E.Case("has no rows and fewer columns", "d", lambda: gold().limit(0), lambda: gold().limit(0).select("n")),
+    ]
+    path = scratch_path(spark, "outcomes")
+    got = {r.id: (r.status, r.gold_rows, r.gen_rows) for r in E.run_benchmark(spark, cases, path).collect()}
+    assert got == {
+        "fails while running": ("SQL_ERROR", 3, 0), "is rejected": ("SQL_ERROR", 3, 0), "is missing": ("ERROR", 3, 0),
+        "loses a copy": ("FAIL", 3, 2), "is right": ("PASS", 3, 3), "names a column twice": ("PASS", 3, 3),
+        "has an untyped column": ("PASS", 1, 1), "has no rows": ("PASS", 0, 0), "has no rows and fewer columns": ("PASS", 0, 0),
+    }
+    assert spark.read.parquet(path).count() == len(cases)  # written once, for the scoreboard
+    with pytest.raises(Exception):
+        E.run_benchmark(spark, [E.Case("gold fails", "c", cases[0].candidate, gold)], path)
+
+
+def test_the_scoreboard_reads_stored_outcomes(spark, small):
+    from tallywing.plans import benchmark, logs
+
+    done = logs.e02_run_benchmark(spark, small)
+    assert sorted(r.id for r in done.collect()) == sorted(n for names in benchmark.CATEGORIES.values() for n in names)
+    plan = logs.e03_scoreboard(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "events" not in plan and plan.count("Relation") == 1
+
+
 def test_pairs_of_a_session_that_starts_with_an_answer(spark):
     log = frame(spark, [(1, 0, "assistant", "hi"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "ai", "b")],
                 "conv_id int, turn int, role string, text string")
