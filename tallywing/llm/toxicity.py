@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywing.llm import sketches
-from tallywing.llm.common import fold
+from tallywing.llm.common import Scratch, fold
 from tallywing.llm.spans import LOWER, Texts, distinct_per_text, hash_spans, mix, steps
 
 #: Labelled documents that the model is fitted on, at most (about: they are taken by a hash of the id).
@@ -132,21 +131,30 @@ def grades_of(toxic: np.ndarray, amount: np.ndarray, grades: int = GRADES) -> np
     return out
 
 
-def _sample_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, y, words, counts) of the labelled documents. A table of fixed size drops other texts before the join."""
-    wanted = sketches.members(labels.select(F.col("id").alias("key")))
+def _sample_words(docs: DataFrame, labels: pa.Table) -> DataFrame:
+    """(id, y, words, counts) of the labelled documents, a row for each label. `labels` (id, y) is the bounded sample; it
+    goes with the code to where the documents are, so no list of features is shuffled.
+    """
+    order = np.lexsort((labels.column("y").to_numpy(), labels.column("id").to_numpy()))
+    known, y = labels.column("id").to_numpy()[order], labels.column("y").to_numpy()[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(-1).to_numpy()
-            for part in steps(batch.filter(pa.array(wanted.has(ids))), "text"):
+            ids = batch.column("doc_id").to_numpy()
+            has = np.searchsorted(known, ids, "right") > np.searchsorted(known, ids, "left")
+            for part in steps(batch.filter(pa.array(has)), "text"):
                 values, counts, first = word_counts(part.column("text"))
                 at = pa.array(first, pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(a)) for a in (values.view(np.int64), counts.astype(np.int64))]
-                yield pa.record_batch([part.column("doc_id"), *lists], ["doc_id", "words", "counts"])
+                ids = part.column("doc_id").to_numpy()
+                low, high = np.searchsorted(known, ids, "left"), np.searchsorted(known, ids, "right")
+                which = np.repeat(np.arange(len(ids)), high - low)
+                label = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[which]
+                take = pa.array(which)
+                columns = [part.column("doc_id").take(take), pa.array(y[label], pa.int32()), *(a.take(take) for a in lists)]
+                yield pa.record_batch(columns, ["id", "y", "words", "counts"])
 
-    rows = docs.where("doc_id is not null").mapInArrow(run, "doc_id long, words array<long>, counts array<long>")
-    return rows.join(labels, F.col("doc_id") == F.col("id")).drop("doc_id")
+    return docs.where("doc_id is not null").mapInArrow(run, "id long, y int, words array<long>, counts array<long>")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS, grades: int = GRADES) -> Ordinal:
@@ -155,11 +163,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     total = labels.count()
     if total > sample:
         labels = labels.where(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
-    rows = _sample_words(docs, labels)
-    sizes = labels.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
-    toxic, clean = sizes["toxic"] or 0, sizes["n"] - (sizes["toxic"] or 0)
+    labels = labels.toArrow()  # about `sample` rows
+    toxic = int(labels.column("y").to_numpy().sum()) if len(labels) else 0
+    clean = len(labels) - toxic
     if not toxic or not clean:
         return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.arange(grades - 1) + (-5.0 if toxic else 5.0))
+    # Written once: the vocabulary and the fit read the same rows.
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows, path = scratch.write(_sample_words(docs, labels), "sample")
     per = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("d"))
     rate = (F.col("t") / toxic, (F.col("d") - F.col("t")) / clean)
     spread = F.sqrt(F.col("d") / (toxic + clean) * (1 / toxic + 1 / clean))
@@ -180,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
             yield pa.record_batch([batch.column("id"), batch.column("y"), *parts], ["id", "y", "places", "counts"])
 
     found = rows.mapInArrow(keep, "id long, y int, places array<long>, counts array<long>").toArrow().combine_chunks()
+    scratch.drop(path)
     by = np.lexsort((found.column("y").to_numpy(), found.column("id").to_numpy()))
     found = found.take(pa.array(by)).combine_chunks()
     lists = found.column("places").combine_chunks()
