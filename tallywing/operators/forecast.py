@@ -1,11 +1,14 @@
 """Daily series, seasonal forecasting and what-if scenarios.
 
-The model family is trend plus yearly and weekly Fourier terms (Taylor & Letham
-2018), fitted as a ridge regression whose prior widths are folded into the
-columns. In multiplicative mode the regression is on the logarithm.
+The model family is a piecewise linear trend times one plus yearly and weekly Fourier terms (or plus them, in additive
+mode; Taylor & Letham 2018). Trend changes have a Laplace prior, so that most of them are zero, seasons and slope a normal
+one. `solve` finds the best coefficients; one series and many use the same one.
+
+The band comes from rolling origins: the model is fitted again on shorter histories, and its errors on the days that
+followed tell how the band widens with the horizon.
 
 A series has one row per day after aggregation, so its length is bounded by the
-calendar whatever the number of transactions.
+calendar whatever the number of transactions, and one task can fit it.
 """
 
 from __future__ import annotations
@@ -15,8 +18,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,11 @@ YEARLY_ORDER, WEEKLY_ORDER = 10, 3
 YEAR, WEEK = 365.25, 7.0
 CHANGEPOINTS, CHANGEPOINT_RANGE = 25, 0.8
 SLOPE_SCALE, CHANGEPOINT_SCALE, SEASON_SCALE = 5.0, 0.05, 10.0
-NOISE = 0.1
+# Least noise, as a share of the largest value.
+NOISE = 0.001
+ALTERNATIONS, SWEEPS = 12, 40
+# Shorter histories that are fitted for the band, days between them, and the days that one must have.
+ORIGINS, ORIGIN_STEP, SHORTEST_HISTORY = 14, 30, 60
 BAND = (0.1, 0.9)
 NORMAL_90 = 1.2815515655446004
 SHORTEST, LONGEST = 7, 90
@@ -83,90 +88,195 @@ def trend_features(time: Column, changepoints: int = CHANGEPOINTS) -> dict[str,
     return {"slope": time, **hinges}
 
 
-def _scale(name: str) -> float:
-    if name == "slope":
-        return SLOPE_SCALE
-    return CHANGEPOINT_SCALE if name.startswith("bend_") else SEASON_SCALE
+def _trend_design(day: np.ndarray, first: float, length: float) -> np.ndarray:
+    """A constant and the columns of `trend_features`."""
+    time = (day - first) / max(length, 1.0)
+    return np.column_stack([np.ones_like(time), time, np.maximum(0.0, time[:, None] - np.array(changepoint_times()))])
+
 
+def _season_design(day: np.ndarray) -> np.ndarray:
+    """The columns of `fourier_features`."""
+    angles = [day * 2 * math.pi * k / p for p, n in ((YEAR, YEARLY_ORDER), (WEEK, WEEKLY_ORDER)) for k in range(1, n + 1)]
+    return np.column_stack([f(a) for a in angles for f in (np.sin, np.cos)])
+
+
+def coordinate_descent(
+    gram: np.ndarray, target: np.ndarray, start: np.ndarray, ridge: np.ndarray, lasso: np.ndarray, sweeps: int
+) -> np.ndarray:
+    """Minimise a'Ga / 2 - t'a + sum(ridge a^2) / 2 + sum(lasso |a|), one coefficient after the other."""
+    a = start.copy()
+    slope = gram @ a - target
+    diagonal = np.diag(gram) + ridge
+    for _ in range(sweeps):
+        largest = 0.0
+        for j in np.flatnonzero(diagonal > 0):
+            pull = gram[j, j] * a[j] - slope[j]
+            new = np.sign(pull) * max(abs(pull) - lasso[j], 0.0) / diagonal[j]
+            if new != a[j]:
+                largest = max(largest, abs(new - a[j]))
+                slope += gram[:, j] * (new - a[j])
+                a[j] = new
+        if largest < 1e-10:
+            break
+    return a
+
+
+def solve(day: np.ndarray, y: np.ndarray, first: float, length: float, multiplicative: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Trend and season coefficients of a series scaled to at most 1.
+
+    Trend and seasons are found in turn, each given the other: the trend by coordinate descent on its Gram matrix, the
+    seasons by a ridge regression. The noise that weighs the priors is that of the residuals.
+    """
+    t, s = _trend_design(day, first, length), _season_design(day)
+    ridge = np.zeros(t.shape[1])
+    ridge[1] = 1 / SLOPE_SCALE**2
+    lasso = np.full(t.shape[1], 1 / CHANGEPOINT_SCALE)
+    lasso[:2] = 0.0
+    trend, season = np.zeros(t.shape[1]), np.zeros(s.shape[1])
+    trend[0] = y.mean()
+    noise = max(float(y.std()), NOISE)
+    for _ in range(ALTERNATIONS):
+        wave, level = s @ season, t @ trend
+        x, rest = (s * level[:, None], y - level) if multiplicative else (s, y - level)
+        season = np.linalg.solve(x.T @ x + np.eye(s.shape[1]) * (noise**2 / SEASON_SCALE**2 + 1e-12), x.T @ rest)
+        wave = s @ season
+        x, rest = (t * (1 + wave)[:, None], y) if multiplicative else (t, y - wave)
+        trend = coordinate_descent(x.T @ x, x.T @ rest, trend, noise**2 * ridge, noise**2 * lasso, SWEEPS)
+        fit = _combine(t @ trend, s @ season, multiplicative)
+        noise = max(float(np.sqrt(np.mean((y - fit) ** 2))), NOISE)
+    return trend, season
+
+
+def _combine(level, wave, multiplicative: bool):
+    return level * (1 + wave) if multiplicative else level + wave
+
+
+def _spread(errors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, float, float, float]:
+    """(a, b, c, d): the band reaches sqrt(a + b h) below and sqrt(c + d h) above at a horizon of h days.
+
+    `errors` are pairs of horizons and errors. Quantiles of stretches of a week are fitted by a line in h that doesn't fall.
+    """
+    horizon, error = (np.concatenate(x) for x in zip(*errors))
+    week = (horizon - 1) // 7
+    at = np.unique(week)
+    out = []
+    for q, sign in ((BAND[0], -1.0), (BAND[1], 1.0)):
+        reach = np.array([max(sign * np.quantile(error[week == w], q), 0.0) ** 2 for w in at])
+        middle = at * 7 + 4.0
+        slope = 0.0
+        if len(at) > 1:
+            slope = max(float(np.polyfit(middle, reach, 1)[0]), 0.0)
+        out += [max(float(reach.mean() - slope * middle.mean()), 0.0), slope]
+    return tuple(out)
+
+
+def fit_series(day: np.ndarray, y: np.ndarray, multiplicative: bool) -> dict:
+    """The fitted model of one series, days ascending, as the fields of MODEL."""
+    scale = float(np.abs(y).max()) or 1.0
+    y = y / scale
+
+    def of(n: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+        first, length = float(day[0]), float(day[n - 1] - day[0])
+        return *solve(day[:n], y[:n], first, length, multiplicative), first, length
+
+    def error(fitted: tuple, which: slice) -> np.ndarray:
+        trend, season, first, length = fitted
+        fit = _combine(_trend_design(day[which], first, length) @ trend, _season_design(day[which]) @ season, multiplicative)
+        return (y[which] - fit) / (np.maximum(np.abs(fit), 1e-6) if multiplicative else 1.0)
+
+    whole = of(len(day))
+    ahead = min(LONGEST, len(day) // 4)
+    origins = [n for i in range(ORIGINS) if (n := len(day) - ahead - i * ORIGIN_STEP) >= max(SHORTEST_HISTORY, len(day) // 2)]
+    errors = [(day[n : n + ahead] - day[n - 1], error(of(n), slice(n, n + ahead))) for n in origins]
+    if errors:
+        band = _spread(errors)
+    else:  # too short a history to forecast a part of it
+        low, high = np.quantile(error(whole, slice(None)), BAND)
+        band = tuple(x for q in (min(low, 0.0), max(high, 0.0)) for x in (float(q * q), float(q * q) / len(day)))
+    trend, season, first, length = whole
+    return {
+        "first_day": first, "length": length, "scale": scale, "multiplicative": multiplicative,
+        "trend": trend.tolist(), "season": season.tolist(), "band": list(band),
+    }
+
+
+MODEL = (
+    "first_day double, length double, scale double, multiplicative boolean, trend array<double>, season array<double>, band array<double>"
+)
+
+
+def fit_each(series: DataFrame, by: list[str], target: str, mode: str = "multiplicative") -> DataFrame:
+    """A model per series (the columns `by` and those of MODEL); a task fits one series of daily values at a time."""
+    if mode not in ("multiplicative", "additive"):
+        raise ValueError("mode must be 'multiplicative' or 'additive'")
+    names = [f"__{i}" for i in range(len(by))]
+    kinds = ", ".join(f"{n} {series.schema[k].dataType.simpleString()}" for n, k in zip(names, by))
 
-# What is saved beside the regression itself.
-SAVED = "columns array<string>, first_day long, length long, multiplicative boolean, low double, high double"
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day", kind="stable")
+        model = fit_series(pdf["day"].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float), mode == "multiplicative")
+        return pd.DataFrame([{n: pdf[n].iloc[0] for n in names} | model])
+
+    rows = series.where(F.col(target).isNotNull()).select(
+        *[F.col(k).alias(n) for n, k in zip(names, by)], day_number(F.col("ds")).alias("day"), F.col(target).cast("double").alias("y")
+    )
+    if not by:
+        rows, names, kinds = rows.withColumn("__all", F.lit(1)), ["__all"], "__all int"
+    fitted = rows.groupBy(*names).applyInPandas(one, f"{kinds}, {MODEL}")
+    return fitted.drop("__all").withColumnsRenamed(dict(zip(names, by)))
+
+
+def with_prediction(days: DataFrame) -> DataFrame:
+    """Replace the columns of MODEL in `days` by `yhat` and its 80 % band, which widens with the days after the history."""
+    day = day_number(F.col("ds"))
+    time = (day - F.col("first_day")) / F.greatest(F.col("length"), F.lit(1.0))
+    columns = {"trend": [F.lit(1.0), *trend_features(time).values()], "season": list(fourier_features(F.col("ds")).values())}
+
+    def dot(name: str) -> Column:
+        both = F.zip_with(F.array(*columns[name]), F.col(name), lambda a, b: a * b)
+        return F.aggregate(both, F.lit(0.0), lambda a, b: a + b)
+
+    level, wave = F.col("__level"), F.col("__wave")
+    out = days.withColumns({"__level": dot("trend"), "__wave": dot("season")})
+    out = out.withColumn("yhat", F.col("scale") * F.when(F.col("multiplicative"), level * (wave + 1)).otherwise(level + wave))
+    ahead = F.greatest(day - F.col("first_day") - F.col("length"), F.lit(0.0))
+    unit = F.when(F.col("multiplicative"), F.abs("yhat")).otherwise(F.col("scale"))
+    reach = [unit * F.sqrt(F.col("band")[i] + F.col("band")[i + 1] * ahead) for i in (0, 2)]
+    out = out.withColumns({"yhat_lower": F.col("yhat") - reach[0], "yhat_upper": F.col("yhat") + reach[1]})
+    return out.drop("__level", "__wave", "first_day", "length", "scale", "multiplicative", "trend", "season", "band")
 
 
 @dataclass
 class Forecaster:
-    """A fitted single series."""
+    """A fitted single series: one row of MODEL."""
+
+    model: dict
 
-    regression: LinearRegressionModel
-    columns: list[str]
-    first_day: int
-    length: int
-    multiplicative: bool
-    band: tuple[float, float]
+    def _row(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([self.model], MODEL)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.regression.write().overwrite().save(f"{path}/regression")
-        about = [(self.columns, self.first_day, self.length, self.multiplicative, *self.band)]
-        spark.createDataFrame(about, SAVED).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        self._row(spark).coalesce(1).write.mode("overwrite").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Forecaster:
         """A saved model; predicting from it reads no row of the table it was fitted on."""
-        a = spark.read.schema(SAVED).parquet(f"{path}/about").first()
-        regression = LinearRegressionModel.load(f"{path}/regression")
-        return Forecaster(regression, list(a["columns"]), a["first_day"], a["length"], a["multiplicative"], (a["low"], a["high"]))
-
-    def _with_fit(self, days: DataFrame) -> DataFrame:
-        return _fit_columns(self.regression, days, self.columns, self.first_day, self.length)
+        return Forecaster(spark.read.schema(MODEL).parquet(path).first().asDict())
 
     def predict(self, future: DataFrame) -> DataFrame:
-        """`yhat` with its 80 % band from the residual quantiles."""
-        fitted = self._with_fit(future)
-        back = (lambda c: F.expm1(c)) if self.multiplicative else (lambda c: c)
-        low, high = self.band
-        return fitted.select(
-            *future.columns,
-            back(F.col("__fit")).alias("yhat"),
-            back(F.col("__fit") + low).alias("yhat_lower"),
-            back(F.col("__fit") + high).alias("yhat_upper"),
-        )
-
-
-def _features(days: DataFrame, first: int, length: int) -> tuple[DataFrame, list[str]]:
-    time = (day_number(F.col("ds")) - F.lit(first)) / F.lit(float(max(length, 1)))
-    cols = {**trend_features(time), **fourier_features(F.col("ds"))}
-    names = list(cols)
-    return days.withColumns({f"__x_{n}": c * F.lit(_scale(n)) for n, c in cols.items()}), names
-
-
-def _fit_columns(model, days, names, first, length):
-    wide, _ = _features(days, first, length)
-    assembler = VectorAssembler(inputCols=[f"__x_{n}" for n in names], outputCol="__features")
-    return model.transform(assembler.transform(wide))
+        """`yhat` of each day, with its 80 % band."""
+        values = {
+            k: F.array(*[F.lit(float(x)) for x in v]) if isinstance(v, list) else F.lit(v) for k, v in self.model.items()
+        }
+        return with_prediction(future.withColumns(values)).select(*future.columns, *BOUNDS)
 
 
 def fit_forecast(series: DataFrame, target: str, mode: str = "multiplicative") -> Forecaster:
-    """Fit one series with the distributed linear regression."""
-    if mode not in ("multiplicative", "additive"):
-        raise ValueError("mode must be 'multiplicative' or 'additive'")
-    span = series.agg(
-        F.min(day_number(F.col("ds"))).alias("a"), F.max(day_number(F.col("ds"))).alias("b"), F.count("*").alias("n")
-    ).first()
-    if not span["n"]:
+    """Fit one series."""
+    found = fit_each(series, [], target, mode).first()  # one row of a fixed size
+    if found is None:
         raise ValueError("the series is empty")
-    first, length = span["a"], span["b"] - span["a"]
-    y = F.col(target).cast("double")
-    wide, names = _features(series, first, length)
-    labelled = wide.withColumn("__y", F.log1p(y) if mode == "multiplicative" else y)
-    assembler = VectorAssembler(inputCols=[f"__x_{n}" for n in names], outputCol="__features")
-    learner = LinearRegression(
-        featuresCol="__features", labelCol="__y", predictionCol="__fit",
-        regParam=NOISE**2 / span["n"], elasticNetParam=0.0, standardization=False, solver="normal",
-    )
-    model = learner.fit(assembler.transform(labelled))
-    residual = model.transform(assembler.transform(labelled)).select((F.col("__y") - F.col("__fit")).alias("r"))
-    low, high = residual.agg(F.percentile("r", F.array(*[F.lit(q) for q in BAND])).alias("q")).first()["q"]
-    return Forecaster(model, names, first, length, mode == "multiplicative", (low, high))
+    return Forecaster(found.asDict())
 
 
 def future_frame(series: DataFrame, horizon: int, by: list[str] | None = None) -> DataFrame:
@@ -177,47 +287,14 @@ def future_frame(series: DataFrame, horizon: int, by: list[str] | None = None) -
     return last.select(*(by or []), F.explode(days).alias("ds"))
 
 
-def _design(day: np.ndarray, first: float, length: float) -> np.ndarray:
-    """The columns of `trend_features` and `fourier_features`, scaled, for one series."""
-    time = (day - first) / max(length, 1.0)
-    hinge = np.maximum(0.0, time[:, None] - np.array(changepoint_times())) * CHANGEPOINT_SCALE
-    angles = [day * 2 * math.pi * k / p for p, n in ((YEAR, YEARLY_ORDER), (WEEK, WEEKLY_ORDER)) for k in range(1, n + 1)]
-    waves = [f(a) * SEASON_SCALE for a in angles for f in (np.sin, np.cos)]
-    return np.column_stack([np.ones_like(time), time * SLOPE_SCALE, hinge, *waves])
-
-
 def forecast_each(
     series: DataFrame, by: list[str], target: str, horizon: int = 30, mode: str = "multiplicative"
 ) -> DataFrame:
-    """Fit and forecast many series, one task per series of daily values."""
-    ahead = clamp_horizon(horizon)
-    log = mode == "multiplicative"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        day = pd.to_datetime(pdf["ds"]).to_numpy().astype("datetime64[D]").astype(float)
-        y = pdf[target].to_numpy(dtype=float)
-        y = np.log1p(y) if log else y
-        first, length = day[0], day[-1] - day[0]
-        x = _design(day, first, length)
-        penalty = NOISE**2 * np.eye(x.shape[1])
-        penalty[0, 0] = 0.0
-        beta = np.linalg.lstsq(x.T @ x + penalty, x.T @ y, rcond=None)[0]
-        low, high = np.quantile(y - x @ beta, BAND)
-        later = day[-1] + np.arange(1, ahead + 1)
-        fit = _design(later, first, length) @ beta
-        back = np.expm1 if log else (lambda v: v)
-        out = {k: pdf[k].iloc[0] for k in by}
-        out["ds"] = (np.datetime64(0, "D") + later.astype(int)).astype("datetime64[ns]")
-        out |= {"yhat": back(fit), "yhat_lower": back(fit + low), "yhat_upper": back(fit + high)}
-        frame = pd.DataFrame(out)
-        frame["ds"] = frame["ds"].dt.date
-        return frame
-
-    keys = [series.schema[k] for k in by]
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
-    schema = f"{names}, ds date, yhat double, yhat_lower double, yhat_upper double"
-    return series.select(*by, "ds", target).groupBy(*by).applyInPandas(one, schema)
+    """Fit and forecast many series; NULL keys are one series."""
+    models = fit_each(series, by, target, mode).withColumnsRenamed({k: f"__{k}" for k in by})
+    future = future_frame(series, horizon, by)
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
+    return with_prediction(future.join(models, same)).select(*by, "ds", *BOUNDS)
 
 
 BOUNDS = ["yhat", "yhat_lower", "yhat_upper"]

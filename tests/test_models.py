@@ -156,6 +156,75 @@ def test_forecast_beats_baseline_on_held_out_days(spark):
     assert errors[0] < 0.05 and errors[1] < 0.05 and errors[0] < errors[2]
 
 
+def test_coordinate_descent_against_a_dense_solver():
+    """Proximal gradient steps with all coefficients at once come to the same point."""
+    rng = np.random.default_rng(11)
+    x, ridge, lasso = rng.normal(size=(80, 9)), rng.uniform(0, 2, 9), rng.uniform(0, 25, 9)
+    y = x @ np.array([3, 0, 0, -2, 0, 1, 0, 0, 0.2]) + rng.normal(size=80)
+    gram, target = x.T @ x, x.T @ y
+    found = P.coordinate_descent(gram, target, np.zeros(9), ridge, lasso, 500)
+    a, step = np.zeros(9), 1 / (np.linalg.eigvalsh(gram).max() + ridge.max())
+    for _ in range(20_000):
+        b = a - step * (gram @ a - target + ridge * a)
+        a = np.sign(b) * np.maximum(np.abs(b) - step * lasso, 0)
+    assert np.abs(found - a).max() < 1e-8 and (found == 0).any()
+
+
+def noisy(rng, days, growth=0.0):
+    """A bent trend times seasons, with noise on each day; `growth` lets the level wander."""
+    d = np.arange(days, dtype=float)
+    level = 100 + 0.1 * d + np.maximum(0, d - days * 0.4) * 0.15
+    level = level * np.exp(np.cumsum(rng.normal(size=days) * growth))
+    season = (1 + 0.25 * np.sin(2 * np.pi * d / 7) + 0.15 * np.cos(2 * np.pi * d / 365.25))
+    return d + 18_000, level * season * (1 + 0.08 * rng.normal(size=days))
+
+
+def test_solver_is_closer_than_a_regression_of_logarithms():
+    """On held-out days, beside the ridge regression of log(1 + y) on the same columns."""
+    rng, better = np.random.default_rng(12), []
+    for _ in range(6):
+        day, y = noisy(rng, 1100)
+        day, y, later, want = day[:1040], y[:1040], day[1040:], y[1040:]
+        trend, season = P.solve(day, y / y.max(), day[0], day[-1] - day[0], True)
+        ours = y.max() * (P._trend_design(later, day[0], day[-1] - day[0]) @ trend) * (1 + P._season_design(later) @ season)
+        design = lambda d: np.hstack([P._trend_design(d, day[0], day[-1] - day[0]) * np.r_[1, 5, np.full(25, 0.05)], P._season_design(d) * 10])
+        x = design(day)
+        beta = np.linalg.solve(x.T @ x + 0.01 * np.eye(x.shape[1]), x.T @ np.log1p(y))
+        better.append((np.abs(ours - want).mean(), np.abs(np.expm1(design(later) @ beta) - want).mean()))
+    ours, logs = np.mean(better, axis=0)
+    assert ours < logs
+
+
+def test_band_covers_four_in_five_and_widens():
+    """At every horizon, over many series whose level wanders."""
+    rng, inside, widths = np.random.default_rng(13), [], []
+    for _ in range(40):
+        day, y = noisy(rng, 1260, 0.006)
+        model = P.fit_series(day[:1200], y[:1200], True)
+        later, want = day[1200:], y[1200:]
+        fit = model["scale"] * (P._trend_design(later, model["first_day"], model["length"]) @ np.array(model["trend"]))
+        fit = fit * (1 + P._season_design(later) @ np.array(model["season"]))
+        h, (a, b, c, d) = np.arange(1, 61), model["band"]
+        inside.append((want >= fit - np.abs(fit) * np.sqrt(a + b * h)) & (want <= fit + np.abs(fit) * np.sqrt(c + d * h)))
+        widths.append(np.sqrt(a + b * h) + np.sqrt(c + d * h))
+    covered = np.mean(inside, axis=0).reshape(3, 20).mean(axis=1)
+    assert (np.abs(covered - 0.8) <= 0.05).all()
+    assert np.mean(widths, axis=0)[-1] > 1.2 * np.mean(widths, axis=0)[0]
+
+
+def test_one_series_and_many_agree(spark):
+    """Also with a NULL key, a constant series and a short one."""
+    series = seasonal(spark, 400)
+    rows = series.withColumn("k", F.lit("x")).union(series.limit(10).withColumn("k", F.lit(None).cast("string")))
+    rows = rows.union(series.limit(90).select("ds", F.lit(3.0), F.lit("c")))
+    each = {(r.k, str(r.ds)): r.yhat for r in P.forecast_each(rows, ["k"], "y", 10).collect()}
+    assert len(each) == 30
+    for k, part in (("x", rows.filter("k = 'x'")), (None, rows.filter("k is null")), ("c", rows.filter("k = 'c'"))):
+        alone = P.fit_forecast(part, "y").predict(P.future_frame(part, 10)).collect()
+        assert all(abs(each[k, str(r.ds)] - r.yhat) < 1e-9 and r.yhat_lower <= r.yhat <= r.yhat_upper for r in alone)
+    assert all(abs(v - 3) < 0.05 for (k, _), v in each.items() if k == "c")
+
+
 def test_forecast_band_holds_the_forecast(spark, small):
     forecast = P.forecast_response(order_series(spark, small), "amount", 14, 0.9)
     assert forecast.count() == 14
