@@ -76,8 +76,8 @@ def st02_stream_fraud_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
        WHERE gap IS NULL OR gap > INTERVAL 15 MINUTE GROUP BY 1""",
 )
 def st03_stream_ttl_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = R.stream_ttl_dedupe(R.stream_events(spark, sf_dir), ["user_id", "event_type"])
-    return R.run_available(kept).groupBy("event_type").agg(rows("kept"))
+    kept = R.run_ttl_dedupe(R.stream_events(spark, sf_dir), ["user_id", "event_type"], "event_id")
+    return kept.groupBy("event_type").agg(rows("kept"))
 
 
 @register(

@@ -6,14 +6,9 @@ of its input and gives the result as a table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallywing import schema as S
 from tallywing.functions import features as X
@@ -79,29 +74,39 @@ def stream_fraud_stats(
     return _flat(counted).withColumn("fraud_rate", rate)
 
 
-def stream_ttl_dedupe(t: DataFrame, keys: list[str], ttl_seconds: int = 900, delay: str = "1 day") -> DataFrame:
-    """Drop a row whose key occurred at most `ttl_seconds` before by event time, as `repeat_hits` marks it.
+def stream_ttl_dedupe(t: DataFrame, keys: list[str], row_id: str, ttl_seconds: int = 900, delay: str = "1 day") -> DataFrame:
+    """Which rows have no other of their key at most `ttl_seconds` before by event time, as `repeat_hits` marks it.
+
+    Time is cut into slots one time to live long, so only the first row of a key and slot can be kept, and it is unless the
+    last one of the slot before is too near. Each row therefore counts in its own slot and, by its time alone, in the
+    next one; a slot's state is its first row and the latest time before. A late row that comes first replaces the row that was,
+    and one that ends the slot before drops it: the result is a row per key and slot, `kept` or not, and the newest counts,
+    so the order of rows and batches makes no difference. Of rows at the same time the one with the least `row_id` is the first.
 
-    The state of a key is its latest time, compared row by row, so it makes no difference how the input is cut into
-    batches. It goes when the watermark has passed it by the time to live. Rows that arrive more than `delay` late are
-    not seen; one that arrives out of order is compared with the latest time in either direction.
+    A key with very many rows is spread over its slots, and a task combines its rows before they are shuffled. Rows whose slot
+    has ended more than `delay` before the latest time, and rows without a time, are not seen.
     """
-    ttl = ttl_seconds * 1_000_000
-
-    def keep(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(EVENT_TIME, kind="stable")
-        at = rows[EVENT_TIME].astype("datetime64[us]").astype("int64").to_numpy()
-        last = state.get[0] if state.exists else at[0] - ttl - 1
-        before = np.maximum.accumulate(np.concatenate([[last], at[:-1]]))
-        state.update((int(max(last, at[-1])),))
-        state.setTimeoutTimestamp(max(int(max(last, at[-1]) + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield rows[np.abs(at - before) > ttl]
-
-    marked = t.withWatermark(EVENT_TIME, delay)
-    return marked.groupBy(*keys).applyInPandasWithState(keep, t.schema, "latest long", "append", GroupStateTimeout.EventTimeTimeout)
+    later = F.col(EVENT_TIME) + F.expr(f"INTERVAL {ttl_seconds} SECONDS")
+    places = F.array(F.struct(F.col(EVENT_TIME).alias("at"), F.lit(True).alias("own")), F.struct(later.alias("at"), F.lit(False).alias("own")))
+    row = F.struct(*[F.col(c) for c in t.columns])
+    spread = t.select(*[F.col(k) for k in keys], row.alias("row"), F.explode(places).alias("place")).select(*keys, "row", "place.*")
+    spread = spread.withColumn("row", F.when(F.col("own"), F.col("row")))
+    # The copies for the next slot are ahead by one time to live, and so is the watermark.
+    marked = spread.withWatermark("at", f"{delay} {ttl_seconds} seconds")
+    slots = marked.groupBy(*keys, F.window("at", f"{ttl_seconds} seconds").alias("slot")).agg(
+        F.min_by("row", F.when(F.col("own"), F.struct("at", f"row.{row_id}"))).alias("first"),
+        F.min(F.when(F.col("own"), F.col("at"))).alias("starts"),
+        F.max(F.when(~F.col("own"), F.col("at"))).alias("until"),
+    )
+    kept = F.col("starts").isNotNull() & (F.col("until").isNull() | (F.col("starts") > F.col("until")))
+    others = [F.col(f"first.{c}").alias(c) for c in t.columns if c not in keys]
+    return slots.select(*keys, F.col("slot.start").alias("slot"), *others, kept.alias("kept"))
+
+
+def run_ttl_dedupe(t: DataFrame, keys: list[str], row_id: str, ttl_seconds: int = 900, delay: str = "1 day") -> DataFrame:
+    """The rows of the stream that `stream_ttl_dedupe` keeps once all input is processed."""
+    done = run_available(stream_ttl_dedupe(t, keys, row_id, ttl_seconds, delay), [*keys, "slot"])
+    return done.where("kept").select(*t.columns)
 
 
 def stream_slot_dedupe(t: DataFrame, keys: list[str], ttl: str = "15 minutes") -> DataFrame:

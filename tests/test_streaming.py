@@ -27,17 +27,39 @@ def test_many_batches_equal_one_table(spark, small, tmp_path):
     assert a == {(str(r.d), r.n, r.s) for r in batch.collect()}
 
 
-def test_ttl_dedupe_equals_the_batch_form_however_files_are_cut(spark, small, tmp_path):
-    folder = in_files(spark, small, tmp_path)
-    for keys, ttl in ((["event_type"], 900), (["user_id", "event_type"], 86_400)):
+def shuffled(spark, sf_dir, path, parts=3):
+    """The events in files of rows from all over, written in an order of no meaning."""
+    events = table(spark, sf_dir, "events").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(parts)))
+    for i in range(parts):
+        events.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_ttl_dedupe_equals_the_batch_form_in_any_order(spark, small, tmp_path):
+    folder = shuffled(spark, small, tmp_path)
+    for keys, ttl, files in ((["event_type"], 900, 1), (["event_type"], 900, None), (["user_id", "event_type"], 86_400, 1)):
         hits = repeat_hits(table(spark, small, "events"), keys, "ts", ttl)
         want = {r.event_id for r in hits.where("not hit").collect()}
-        for files in (1, None):
-            kept = R.stream_ttl_dedupe(R.stream_events(spark, folder, files_per_trigger=files), keys, ttl, "40 days")
-            assert {r.event_id for r in R.run_available(kept).collect()} == want
+        kept = R.run_ttl_dedupe(R.stream_events(spark, folder, files_per_trigger=files), keys, "event_id", ttl, "60 days")
+        assert kept.columns == R.stream_events(spark, folder).columns
+        assert {r.event_id for r in kept.collect()} == want
         assert 1 < len(want) < 1000
 
 
+def test_a_late_row_changes_what_was_kept(spark, tmp_path):
+    """Rows at 0 s and 5000 s, then later ones before, between and at the same time, one file after the other."""
+    times = [[(1, "a", 5000), (2, "a", 1000), (9, None, 10)], [(3, "a", 60), (4, "a", 4500), (8, None, 10)], [(5, "a", 0), (6, "b", 70), (7, "a", 1900)]]
+    for i, rows in enumerate(times):
+        df = spark.createDataFrame(rows, "event_id long, user string, s long").select("event_id", "user", F.timestamp_seconds("s").alias(R.EVENT_TIME))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    for files in (1, 10):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in"))
+        kept = R.run_ttl_dedupe(stream, ["user"], "event_id", 900)
+        # 60 s repeats 0 s; 1000 s is 940 s after 60 s; 1900 s repeats 1000 s by exactly the limit; 5000 s repeats 4500 s.
+        assert sorted(r.event_id for r in kept.collect()) == [2, 4, 5, 6, 8]
+
+
 def test_empty_stream(spark, small, tmp_path):
     table(spark, small, "events").filter("false").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     stats = R.stream_fraud_stats(R.stream_transactions(spark, str(tmp_path)), "network_type")
