@@ -9,7 +9,8 @@ from the others. Which places hold the same chunk is found by fingerprint and th
 chunks are grouped by their text. Where one fingerprint has several texts, each text is a class of its own.
 
 Defined cases: a NULL text stays NULL and an empty text empty; a text of one line is never touched; rows that agree
-in id and text lose the same chunks (the first place is theirs alike); rows with a NULL id lose nothing; lines are split at
+in id and text lose the same chunks (the first place is theirs alike); rows that agree in the id alone are told apart by a digest
+of their text, and each loses its own chunks only; rows with a NULL id lose nothing; lines are split at
 "\\n" only, of any length; an empty table gives an empty result; further columns stay as they are, also those that
 have the name of a helper column; a column named like one of the three new ones is replaced.
 """
@@ -63,13 +64,13 @@ def add_chunks(df: DataFrame, text: Column) -> DataFrame:
 
 
 def repeated(chunked: DataFrame, scratch: Scratch, mark=fingerprint) -> DataFrame:
-    """(doc_id, k): the chunks that go. `chunked` is read twice."""
+    """(doc_id, own, k): the chunks that go. `chunked` (doc_id, own, chunks) is read twice; `own` is a digest of the row's text."""
     # The outer form: else a filter on the size of `chunks` would be derived and pushed below, cutting every text again.
-    rows = chunked.select("doc_id", F.posexplode_outer("chunks").alias("k", "chunk")).where(
+    rows = chunked.select("doc_id", "own", F.posexplode_outer("chunks").alias("k", "chunk")).where(
         "contains(chunk, '\n') and chunk rlike '[^\\\\s]'"
     )
     rows = rows.withColumn("key", mark(F.col("chunk")))
-    keys, key_path = scratch.write(rows.select("doc_id", "k", "key"), "keys")
+    keys, key_path = scratch.write(rows.select("doc_id", "own", "k", "key"), "keys")
     many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     many, many_path = scratch.write(many, "many")
     if many.count() <= BROADCAST_KEYS:
@@ -78,17 +79,17 @@ def repeated(chunked: DataFrame, scratch: Scratch, mark=fingerprint) -> DataFram
     classes = (
         rows.join(many, "key")
         .groupBy("key", "chunk")
-        .agg(F.min(F.struct("doc_id", "k")).alias("first"))
+        .agg(F.min(F.struct("doc_id", "own", "k")).alias("first"))
         .groupBy("key")
         .agg(F.count("*").alias("texts"), F.min("first").alias("first"))
     )
     classes, class_path = scratch.write(classes, "classes")
-    one = keys.join(classes.where("texts = 1"), "key").where("struct(doc_id, k) != first").select("doc_id", "k")
+    one = keys.join(classes.where("texts = 1"), "key").where("struct(doc_id, own, k) != first").select("doc_id", "own", "k")
     clash = classes.where("texts > 1").select("key")
     if not clash.isEmpty():
         shared = rows.join(clash, "key")
-        first = shared.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "k")).alias("first"))
-        one = one.union(shared.join(first, ["key", "chunk"]).where("struct(doc_id, k) != first").select("doc_id", "k"))
+        first = shared.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "own", "k")).alias("first"))
+        one = one.union(shared.join(first, ["key", "chunk"]).where("struct(doc_id, own, k) != first").select("doc_id", "own", "k"))
     gone, _ = scratch.write(one, "gone")
     scratch.drop(key_path, many_path, class_path)
     return gone
@@ -100,15 +101,16 @@ def dedup_lines(docs: DataFrame, mark=fingerprint) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    chunked = add_chunks(docs.select(doc_id, "text"), F.col("text")).select("doc_id", "chunks")
-    gone = repeated(chunked, scratch, mark).groupBy("doc_id").agg(F.collect_set("k").alias("gone"))
+    own = F.xxhash64("text").alias("own")
+    chunked = add_chunks(docs.select(doc_id, own, "text"), F.col("text")).select("doc_id", "own", "chunks")
+    gone = repeated(chunked, scratch, mark).groupBy("doc_id", "own").agg(F.collect_set("k").alias("gone"))
     new = ["n_lines", "removed_lines", "removed_chunks"]
     others = [c for c in docs.columns if c not in new]
-    whole = docs.select(doc_id, F.col("text"), F.struct(*[F.col(f"`{c}`") for c in others if c != "text"]).alias("row"))
+    whole = docs.select(doc_id, own, F.col("text"), F.struct(*[F.col(f"`{c}`") for c in others if c != "text"]).alias("row"))
     # Rows that lose a chunk are cut once more, in place; for the others there is nothing to cut.
     loses = F.col("gone").isNotNull()
     # A shuffled join at every size: the rows that lose a chunk grow with the input.
-    out = add_chunks(whole.join(gone.hint("merge"), "doc_id", "left"), F.when(loses, F.col("text")))
+    out = add_chunks(whole.join(gone.hint("merge"), ["doc_id", "own"], "left"), F.when(loses, F.col("text")))
     kept = F.expr("array_join(filter(chunks, (c, k) -> not array_contains(gone, k)), '\n')")
     lost = F.expr("aggregate(filter(chunks, (c, k) -> array_contains(gone, k)), 0L, (n, c) -> n + size(split(c, '\n')))")
     lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1

@@ -1,6 +1,7 @@
 """Every operator on rows that are NULL, empty, very long, repeated or tied, with extra columns, and on empty tables."""
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywing.llm import decontaminate, embeddings, jaccard, lines, lm, packing, pii, quality, sharding, toxicity
@@ -58,6 +59,16 @@ def test_lines(docs, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Row (2, A) repeats row (1, A) and goes; row (2, B) stands nowhere else and stays whole."""
+    one, two = ("\n".join(f"{c} line {i} of it" for i in range(12)) for c in "AB")
+    df = spark.createDataFrame([(1, one), (2, one), (2, two), (2, two)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in lines.dedup_lines(df).collect())
+    assert got[0] == (1, one) and [t for i, t in got if i == 2].count(two) == 2 and len(got) == 4
+    clash = sorted((r.doc_id, r.text) for r in lines.dedup_lines(df, lambda text: F.lit(1).cast("long")).collect())
+    assert clash == got
+
+
 def test_jaccard(docs, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_documents(docs).collect()), key=repr)
     by = {i: (n, c) for i, n, c in got if i is not None}
