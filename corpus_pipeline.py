@@ -58,7 +58,8 @@ STAGES = [
     ("pack", packed),
 ]
 
-#: Trees, components and tokenizers have no SQL; tests/llm holds each stage against a brute-force version.
+#: Trees, components and tokenizers have no SQL. tests/llm holds each stage against its operator on the stage's own input; the
+#: operators have brute-force tests of their own.
 ORACLE_SQL = None
 
 
