@@ -3,37 +3,57 @@
 The contribution of a feature is its Shapley value in the game where an unknown
 feature follows both branches in proportion to the training weight (Lundberg et
 al. 2020). For one leaf it depends only on which of the features on the leaf's
-path a row satisfies, at most 2^depth cases, so each leaf gets a table of all of
-them and rows are looked up in batches.
+path a row satisfies, at most 2^depth cases.
+
+A feature has few thresholds in all trees together, so a value counts only by its
+rank among them, and a leaf meets a set of ranks, kept as bits. Neighbouring leaves
+ask much the same of a row: they share one table, whose rows are the combinations of
+the classes of ranks that none of the leaves tells apart. A row of data needs one sum
+of codes and one row of the table for all these leaves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import factorial
+from math import factorial, prod
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywing import schema as S
 from tallywing.operators.fraud_model import FraudModel
 from tallywing.operators.ranking import hash_sample
-from tallywing.session import scratch_path
+from tallywing.session import remove, scratch_path
 
-# Largest model whose nodes are read and whose leaf tables are sent to every executor.
+# Largest model whose nodes are read and whose tables are sent to every executor.
 MAX_NODES = 200_000
 MAX_TABLE_BYTES = 512 * 1024 * 1024
+# Rows of a table that leaves share; a table of this size stays in a core's cache.
+TABLE_ROWS = 512
+# Rows of data that go through all tables together.
+BLOCK_ROWS = 4096
 
 
 @dataclass
 class Leaf:
-    features: np.ndarray  # indices of the features on the path
-    low: np.ndarray  # a row meets feature j when low < x <= high
-    high: np.ndarray
-    table: np.ndarray  # contributions by the bit pattern of met features
+    value: float
+    path: dict[int, tuple[int, float]]  # by feature: the ranks that lead here, as bits, and their part of the weight
+
+
+@dataclass
+class Table:
+    codes: list[tuple[int, np.ndarray]]  # features with what each rank adds to the number of the table's row
+    rows: np.ndarray  # contributions of all features
+
+
+@dataclass
+class Tables:
+    cuts: list[np.ndarray]  # thresholds of every feature, in order
+    tables: list[Table]
 
 
 def read_nodes(spark: SparkSession, model: FraudModel) -> pd.DataFrame:
@@ -50,70 +70,133 @@ def read_nodes(spark: SparkSession, model: FraudModel) -> pd.DataFrame:
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
     )
-    if nodes.limit(MAX_NODES + 1).count() > MAX_NODES:
+    read = nodes.limit(MAX_NODES + 1).toPandas()
+    remove(spark, path)
+    if len(read) > MAX_NODES:
         raise ValueError(f"the model has more than {MAX_NODES} nodes")
-    return nodes.toPandas()
+    return read
 
 
-def shapley_table(shares: np.ndarray, value: float) -> np.ndarray:
-    """Contributions of d features to one leaf for each of the 2^d patterns of met features.
+def shapley_tables(shares: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Contributions to n leaves with d features each: n by the 2^d patterns of met features by d.
 
-    `shares` holds, per feature, the part of the weight that takes this path.
+    `shares` holds, per leaf and feature, the part of the weight that takes this path.
     """
-    d = len(shares)
+    n, d = shares.shape
     patterns = (np.arange(2**d)[:, None] >> np.arange(d)) & 1
-    out = np.zeros((2**d, d))
+    out = np.zeros((n, 2**d, d))
     sizes = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
     for i in range(d):
         # Coefficient k: total over coalitions of k other features.
-        poly = np.zeros((2**d, d))
-        poly[:, 0] = 1.0
+        poly = np.zeros((n, 2**d, d))
+        poly[:, :, 0] = 1.0
         for j in range(d):
             if j != i:
-                shifted = np.roll(poly, 1, axis=1) * patterns[:, j : j + 1]
-                shifted[:, 0] = 0.0
-                poly = poly * shares[j] + shifted
-        out[:, i] = value * (patterns[:, i] - shares[i]) * (poly @ sizes)
+                larger = poly[:, :, :-1] * patterns[:, j, None]
+                poly *= shares[:, j, None, None]
+                poly[:, :, 1:] += larger
+        gain = patterns[:, i] - shares[:, i, None]
+        out[:, :, i] = values[:, None] * gain * (poly @ sizes)
     return out
 
 
-def leaf_tables(nodes: pd.DataFrame, tree_weights: list[float]) -> tuple[list[Leaf], float]:
-    """The leaves of all trees and the base value, in log-odds.
-
-    A boosted score s stands for log-odds 2s.
-    """
-    leaves, base, size = [], 0.0, 0
+def read_leaves(nodes: pd.DataFrame, tree_weights: list[float], cuts: list[np.ndarray]) -> list[Leaf]:
+    """The leaves of all trees from left to right, with values in log-odds: a boosted score s stands for 2s."""
+    leaves = []
     for tree, group in nodes.groupby("tree"):
         rows = {n.id: n for n in group.itertuples(index=False)}
         stack = [(rows[0], {})]
         while stack:
             node, path = stack.pop()
             if node.left < 0:
-                value = 2.0 * tree_weights[tree] * node.prediction
-                shares = np.array([p[2] for p in path.values()])
-                base += value * (shares.prod() if path else 1.0)
-                if path:
-                    size += 8 * len(path) * 2 ** len(path)
-                    if size > MAX_TABLE_BYTES:
-                        raise ValueError("the trees are too deep or too many for leaf tables")
-                    low, high = (np.array([p[i] for p in path.values()]) for i in (0, 1))
-                    leaves.append(Leaf(np.array(list(path)), low, high, shapley_table(shares, value)))
+                leaves.append(Leaf(2.0 * tree_weights[tree] * node.prediction, path))
                 continue
-            for child, is_left in ((rows[node.left], True), (rows[node.right], False)):
-                low, high, share = path.get(node.feature, (-np.inf, np.inf, 1.0))
-                bound = (low, min(high, node.threshold)) if is_left else (max(low, node.threshold), high)
-                step = (*bound, share * child.weight / node.weight)
-                stack.append((child, {**path, node.feature: step}))
-    return leaves, base
-
-
-def contributions(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
-    """Rows by features."""
-    out = np.zeros_like(x, dtype=float)
-    for leaf in leaves:
-        at = x[:, leaf.features]
-        met = (at > leaf.low) & (at <= leaf.high)
-        out[:, leaf.features] += leaf.table[met @ (1 << np.arange(len(leaf.features)))]
+            every = (2 << len(cuts[node.feature])) - 1
+            ranks, share = path.get(node.feature, (every, 1.0))
+            # A value up to the cut has at most the cut's rank.
+            below = (2 << int(np.searchsorted(cuts[node.feature], node.threshold))) - 1
+            for child, side in ((rows[node.right], ranks & ~below), (rows[node.left], ranks & below)):
+                stack.append((child, {**path, node.feature: (side, share * child.weight / node.weight)}))
+    return leaves
+
+
+def refine(classes: list[int], ranks: int) -> list[int]:
+    """Split sets of ranks by one more."""
+    return [part for c in classes for part in (c & ranks, c & ~ranks) if part]
+
+
+def share_tables(leaves: list[Leaf], cuts: list[np.ndarray]) -> Iterator[tuple[list[int], dict[int, list[int]]]]:
+    """Runs of leaves whose table has at most TABLE_ROWS rows, or one leaf: their numbers, and classes of ranks by feature."""
+    run: list[int] = []
+    classes: dict[int, list[int]] = {}
+    for number, leaf in enumerate(leaves):
+        finer = dict(classes)
+        for feature, (ranks, _) in leaf.path.items():
+            finer[feature] = refine(finer.get(feature, [(2 << len(cuts[feature])) - 1]), ranks)
+        if run and prod(map(len, finer.values())) > TABLE_ROWS:
+            yield run, classes
+            run, finer = [], {f: refine([(2 << len(cuts[f])) - 1], ranks) for f, (ranks, _) in leaf.path.items()}
+        run.append(number)
+        classes = finer
+    if run:
+        yield run, classes
+
+
+def leaf_tables(nodes: pd.DataFrame, tree_weights: list[float], width: int) -> tuple[Tables, float]:
+    """The tables of all trees over `width` features and the base value, in log-odds."""
+    inner = nodes[nodes["left"] >= 0]
+    cuts = [np.unique(inner.loc[inner["feature"] == f, "threshold"].to_numpy(float)) for f in range(width)]
+    leaves = read_leaves(nodes, tree_weights, cuts)
+    base = sum(leaf.value * prod(share for _, share in leaf.path.values()) for leaf in leaves)
+    leaves = [leaf for leaf in leaves if leaf.path]
+    if sum(8 * len(leaf.path) << len(leaf.path) for leaf in leaves) > MAX_TABLE_BYTES:
+        raise ValueError("the trees are too deep or too many for leaf tables")
+    contributed: dict[int, np.ndarray] = {}
+    for d in {len(leaf.path) for leaf in leaves}:
+        same = [i for i, leaf in enumerate(leaves) if len(leaf.path) == d]
+        for at in range(0, len(same), 1024):
+            some = same[at : at + 1024]
+            shares = np.array([[share for _, share in leaves[i].path.values()] for i in some])
+            contributed.update(zip(some, shapley_tables(shares, np.array([leaves[i].value for i in some]))))
+    tables, size = [], 0
+    for run, classes in share_tables(leaves, cuts):
+        lengths = [len(c) for c in classes.values()]
+        rows = np.arange(prod(lengths))
+        steps = [prod(lengths[a + 1 :]) for a in range(len(lengths))]
+        # The class that each row of the table stands for, by feature.
+        held = {f: rows // step % length for f, step, length in zip(classes, steps, lengths)}
+        grid = np.zeros((width, len(rows)))
+        size += grid.nbytes
+        if size > MAX_TABLE_BYTES:
+            raise ValueError("the trees are too deep or too many for shared tables")
+        for i in run:
+            pattern = np.zeros(len(rows), dtype=np.intp)
+            for bit, (feature, (ranks, _)) in enumerate(leaves[i].path.items()):
+                pattern += np.array([bool(c & ranks) << bit for c in classes[feature]], dtype=np.intp)[held[feature]]
+            for bit, feature in enumerate(leaves[i].path):
+                grid[feature] += contributed[i][:, bit][pattern]
+        codes = []
+        for feature, step in zip(classes, steps):
+            which = np.zeros(len(cuts[feature]) + 1, dtype=np.intp)
+            for number, c in enumerate(classes[feature]):
+                which[[r for r in range(len(which)) if c >> r & 1]] = number * step
+            codes.append((feature, which))
+        tables.append(Table(codes, np.ascontiguousarray(grid.T)))
+    return Tables(cuts, tables), base
+
+
+def contributions(x: np.ndarray, known: Tables) -> np.ndarray:
+    """Rows by features; a value that is no number goes right at every split, as in the trees."""
+    out = np.zeros(x.shape)
+    for at in range(0, len(x), BLOCK_ROWS):
+        block, total = x[at : at + BLOCK_ROWS], out[at : at + BLOCK_ROWS]
+        ranks = [np.searchsorted(cut, block[:, f]) for f, cut in enumerate(known.cuts)]
+        row, part, found = np.empty(len(block), np.intp), np.empty(len(block), np.intp), np.empty(block.shape)
+        for table in known.tables:
+            row.fill(0)
+            for feature, which in table.codes:
+                row += np.take(which, ranks[feature], out=part, mode="clip")
+            total += np.take(table.rows, row, axis=0, out=found, mode="clip")
     return out
 
 
@@ -125,17 +208,21 @@ def with_attributions(model: FraudModel, scored: DataFrame) -> DataFrame:
     log-odds of the probability.
     """
     spark = scored.sparkSession
-    leaves, base = leaf_tables(read_nodes(spark, model), model.trees.treeWeights)
-    shared = spark.sparkContext.broadcast(leaves)
-    out_schema = scored.select("*", F.array(F.lit(0.0)).alias("exact_contributions")).schema
+    width = model.trees.numFeatures
+    tables, base = leaf_tables(read_nodes(spark, model), model.trees.treeWeights, width)
+    shared = spark.sparkContext.broadcast(tables)
+    kept = [c for c in scored.columns if c != "features"]
+    out_schema = scored.select(*kept, F.array(F.lit(0.0)).alias("exact_contributions")).schema
 
-    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                values = contributions(np.stack(pdf["features"].to_numpy()), shared.value)
-                yield pdf.assign(exact_contributions=list(values))
+    def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            values = pa.array(contributions(x, shared.value).ravel())
+            ends = pa.array(np.arange(0, len(values) + 1, width, dtype=np.int32))
+            columns = [*(batch.column(c) for c in kept), pa.ListArray.from_arrays(ends, values)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "exact_contributions"])
 
-    exact = scored.mapInPandas(attribute, out_schema).withColumn("base_value", F.lit(base))
+    exact = scored.mapInArrow(attribute, out_schema).withColumn("base_value", F.lit(float(base)))
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("feature"), F.round(F.col("exact_contributions")[i], 4).alias("value"))
@@ -145,7 +232,7 @@ def with_attributions(model: FraudModel, scored: DataFrame) -> DataFrame:
     larger_first = lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1).when(
         F.abs(a["value"]) < F.abs(b["value"]), 1
     ).when(a["feature"] < b["feature"], -1).otherwise(1)
-    return exact.withColumn("contributions", F.array_sort(pairs, larger_first)).drop("features")
+    return exact.withColumn("contributions", F.array_sort(pairs, larger_first))
 
 
 def attributions(attributed: DataFrame, key: str) -> DataFrame:

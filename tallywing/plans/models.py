@@ -15,7 +15,7 @@ from tallywing.operators.ranking import hash_sample
 from tallywing.operators.sampling import class_weight, fit_label_encoder, quick_split, stratified_split
 from tallywing.plans.corpus import rows
 from tallywing.plans.registry import on_transactions, register
-from tallywing.session import scratch_path
+from tallywing.session import fingerprint_of_files, scratch_path
 from tallywing.sources.fixture import transactions
 
 _FEATURES_SQL = ", ".join(S.FEATURE_COLUMNS)
@@ -191,16 +191,17 @@ def fm15_train_rule_eval(t: DataFrame) -> DataFrame:
     return ME.eval_report(rule_scored(split.filter("is_test")))
 
 
-# The model of each data folder, trained once per session on its training rows.
+# The model of each state of a data folder, trained once per session on its training rows.
 _MODELS: dict[tuple[str, str], str] = {}
 TREES = 200
 
 
 def trained_model(spark: SparkSession, sf_dir: str) -> M.FraudModel:
     """The model of the folder's transactions, saved to the shared folder and loaded from there."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    fact = transactions(spark, sf_dir)
+    at = (spark.sparkContext.applicationId, fingerprint_of_files(spark, fact.inputFiles()))
     if at not in _MODELS:
-        t = M.select_features(transactions(spark, sf_dir), "transaction_id")
+        t = M.select_features(fact, "transaction_id")
         train = stratified_split(t, S.TARGET_COLUMN, "transaction_id").filter("NOT is_test")
         path = scratch_path(spark, "model")
         M.train_fraud(train, trees=TREES).save(path)

@@ -78,13 +78,45 @@ def test_contributions_against_brute_force():
          (0, 6, 4.0, 3.0, -1, -1, -1, None)],
         columns=["tree", "id", "prediction", "weight", "left", "right", "feature", "threshold"],
     )
-    leaves, base = A.leaf_tables(nodes, [0.5])
+    tables, base = A.leaf_tables(nodes, [0.5], 3)
     for x in ([1, 1, 0], [5, 3, 9], [6, 0, 0], [9, 9, 9]):
-        got = A.contributions(np.array([x], dtype=float), leaves)[0]
+        got = A.contributions(np.array([x], dtype=float), tables)[0]
         assert np.allclose(got, brute_shapley(nodes, x, 3))  # 2 x 0.5 = 1
     assert base == pytest.approx((2 * 1 + 4 * 2 - 1 * 3 + 3 * 4) / 10)
 
 
+@pytest.mark.parametrize("rows", [1, 24, 512])
+def test_shared_tables_against_brute_force(monkeypatch, rows):
+    """Random trees whose splits use the same features again, with tables of one leaf, of a few, and across trees."""
+    monkeypatch.setattr(A, "TABLE_ROWS", rows)
+    monkeypatch.setattr(A, "BLOCK_ROWS", 7)
+    rng = random.Random(rows)
+    nodes = []
+
+    def grow(tree, depth, weight):
+        at = len([n for n in nodes if n[0] == tree])
+        here = [tree, at, rng.uniform(-1, 1), weight, -1, -1, -1, None]
+        nodes.append(here)
+        if depth and weight > 2:
+            part = rng.uniform(0.2, 0.8) * weight
+            here[6], here[7] = rng.randrange(4), float(rng.randrange(6))
+            here[4] = grow(tree, depth - 1, part)
+            here[5] = grow(tree, depth - 1, weight - part)
+        return at
+
+    for tree in range(5):
+        grow(tree, tree, 100.0)  # the first tree is a leaf
+    frame = pd.DataFrame(nodes, columns=["tree", "id", "prediction", "weight", "left", "right", "feature", "threshold"])
+    weights = [rng.uniform(0.1, 1) for _ in range(5)]
+    tables, base = A.leaf_tables(frame, weights, 5)
+    leaves = int((frame.left < 0).sum()) - 1
+    assert len(tables.tables) == leaves if rows == 1 else len(tables.tables) < leaves
+    x = np.array([[rng.randrange(-1, 8) for _ in range(5)] for _ in range(30)], dtype=float)
+    want = [sum(2 * w * brute_shapley(frame[frame.tree == i], r, 5) for i, w in enumerate(weights)) for r in x]
+    assert np.allclose(A.contributions(x, tables), want)
+    assert A.contributions(x[:0], tables).shape == (0, 5)
+
+
 def test_contributions_add_up_to_log_odds(spark, small):
     model, rows = scored_with_features(spark, small)
     out = A.with_attributions(model, rows)
