@@ -139,3 +139,15 @@ def st05_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions closed by the end of the input; those still open are not reported yet."""
     done = R.run_available(R.stream_sessions(R.stream_events(spark, sf_dir), "user_id"))
     return as_text(done.drop("window_end"), "window_start")
+
+
+@register(
+    "st05_stream_all_sessions",
+    f"""SELECT user_id, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at,
+               strftime(last_activity, '%Y-%m-%d %H:%M:%S') AS last_activity, events,
+               last_activity + INTERVAL 90 MINUTE < (SELECT max(ts) FROM events) AS closed FROM ({SESSIONS_SQL})""",
+)
+def st05_stream_all_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed and open sessions at the end of the input."""
+    sessions = R.run_sessions(R.stream_events(spark, sf_dir), "user_id")
+    return as_text(sessions.drop("session"), "started_at", "last_activity")

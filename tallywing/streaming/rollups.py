@@ -134,20 +134,14 @@ def stream_sessions(t: DataFrame, key: str, gap: str = "30 minutes", delay: str
     return _flat(sessions)
 
 
-def session_activity(df: DataFrame, key: str, at: str = "ts", gap_seconds: int = 1800) -> DataFrame:
-    """The batch form: sessions with first and last activity and size.
+def _slot_figures(micros: Column) -> list[Column]:
+    return [F.min(micros).alias("first"), F.max(micros).alias("last"), F.count("*").alias("n")]
 
-    Rows are first combined per key and time slot of one gap length: rows of a slot
-    are closer than the gap, so they share a session. What remains to be ordered per
-    key is one row per slot, a number set by the calendar and not by the rows.
-    """
-    gap = gap_seconds * 1_000_000
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    slots = df.groupBy(key, F.floor(micros / F.lit(gap)).alias("slot")).agg(
-        F.min(micros).alias("first"), F.max(micros).alias("last"), F.count("*").alias("n")
-    )
+
+def _join_slots(slots: DataFrame, key: str, gap_seconds: int) -> DataFrame:
+    """Sessions from (key, slot, first, last, n), times in microseconds: slots whose pause is at most the gap belong together."""
     w = W.partitionBy(key).orderBy("slot")
-    starts = (F.col("first") - F.lag("last").over(w) > gap) | F.lag("last").over(w).isNull()
+    starts = (F.col("first") - F.lag("last").over(w) > gap_seconds * 1_000_000) | F.lag("last").over(w).isNull()
     numbered = slots.withColumn("new", starts.cast("int")).withColumn(
         "session", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))
     )
@@ -162,6 +156,44 @@ def session_activity(df: DataFrame, key: str, at: str = "ts", gap_seconds: int =
     )
 
 
+def session_activity(df: DataFrame, key: str, at: str = "ts", gap_seconds: int = 1800) -> DataFrame:
+    """The batch form: sessions with first and last activity and size.
+
+    Rows are first combined per key and time slot of one gap length: rows of a slot
+    are closer than the gap, so they share a session. What remains to be ordered per
+    key is one row per slot, a number set by the calendar and not by the rows.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    slot = F.floor(micros / F.lit(gap_seconds * 1_000_000)).alias("slot")
+    return _join_slots(df.groupBy(key, slot).agg(*_slot_figures(micros)), key, gap_seconds)
+
+
+def stream_session_slots(t: DataFrame, key: str, gap_seconds: int = 1800, delay: str = "1 hour") -> DataFrame:
+    """First and last time and size of the rows of a key in each time slot of one gap length, for update mode.
+
+    The built-in session window gives a session only once it has ended, and can't take one back. A slot never moves: a late
+    row changes one slot's figures or adds a slot, and the sessions on both sides grow together when the slots are joined.
+    The state is a row per key and slot that has not ended more than `delay` before the latest time; rows of older slots may
+    be left out, rows without a time are.
+    """
+    slot = F.window(EVENT_TIME, f"{gap_seconds} seconds").alias("window")
+    figures = t.withWatermark(EVENT_TIME, delay).groupBy(key, slot).agg(*_slot_figures(F.unix_micros(EVENT_TIME)))
+    return figures.select(key, F.col("window.start").alias("slot"), "first", "last", "n")
+
+
+def run_sessions(t: DataFrame, key: str, gap_seconds: int = 1800, delay_seconds: int = 3600) -> DataFrame:
+    """All sessions of a stream, those still open included: as `session_activity` gives them, and whether they are `closed`.
+
+    A session is closed once the gap after its last row has ended more than the delay before the latest time of the whole
+    stream: no row that is still to come can join it. How the input was cut into batches makes no difference to rows that are
+    late by at most the delay.
+    """
+    slots = run_available(stream_session_slots(t, key, gap_seconds, f"{delay_seconds} seconds"), [key, "slot"])
+    latest = slots.agg(F.timestamp_micros(F.max("last")).cast("timestamp_ntz"))
+    beyond = F.col("last_activity") + F.expr(f"INTERVAL {gap_seconds + delay_seconds} SECONDS")
+    return _join_slots(slots, key, gap_seconds).withColumn("closed", beyond < latest.scalar())
+
+
 def run_available(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Process all input there is and return the result.
 

@@ -1,4 +1,5 @@
 import random
+from datetime import timezone
 
 from pyspark.sql import functions as F
 
@@ -78,6 +79,33 @@ def test_sessions_against_the_built_in_window(spark):
         (r.u, r.a, r.b, r.n) for r in want.collect()}
 
 
+def test_streamed_sessions_equal_the_batch_form_in_any_order(spark, small, tmp_path):
+    folder = shuffled(spark, small, tmp_path)
+    for gap, files in ((1800, 1), (86_400, 1), (86_400, None)):
+        want = R.session_activity(table(spark, small, "events"), "user_id", gap_seconds=gap)
+        got = R.run_sessions(R.stream_events(spark, folder, files_per_trigger=files), "user_id", gap, 60 * 86_400)
+        assert got.drop("closed").exceptAll(want).isEmpty() and want.exceptAll(got.drop("closed")).isEmpty()
+        assert got.where("closed").isEmpty() or got.where("not closed").count() > 0
+
+
+def test_a_late_row_joins_two_sessions(spark, tmp_path):
+    """a: 0 s and 3000 s are apart until a row at 1500 s comes; b ends with the input; a late row of c is a session of its own."""
+    times = [[(1, "a", 0), (2, "a", 3000), (3, "c", 9000)], [(4, "a", 1500), (5, "b", 20_000), (6, None, 100)], [(7, "b", 21_800), (8, "b", 23_601), (9, "c", 50)]]
+    for rows in times:
+        df = spark.createDataFrame(rows, "event_id long, user string, s long").select("event_id", "user", F.timestamp_seconds("s").alias(R.EVENT_TIME))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seconds = lambda t: t.replace(tzinfo=timezone.utc).timestamp()
+    sessions = R.run_sessions(stream, "user", 1800, 20_000 - 100)
+    got = {(r.user, seconds(r.started_at), seconds(r.last_activity), r.events, r.closed) for r in sessions.collect()}
+    # A pause of exactly the gap does not end a session.
+    assert got == {
+        ("a", 0, 3000, 3, False), (None, 100, 100, 1, True), ("c", 50, 50, 1, True), ("c", 9000, 9000, 1, False),
+        ("b", 20_000, 21_800, 2, False), ("b", 23_601, 23_601, 1, False),
+    }
+
+
 def test_streamed_score_equals_batch(spark, small):
     t = R.stream_transactions(spark, small)
     got = R.run_available(R.stream_rule_score(t).select("transaction_id", "fraud_probability"))
