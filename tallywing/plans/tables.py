@@ -112,6 +112,37 @@ def s08_cluster_for_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return june.groupBy("sender_bank").agg(rows(), total_amount())
 
 
+def _for_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "lookup")
+    IO.write_for_lookup(transactions(spark, sf_dir, with_state=False), path)
+    return spark.read.parquet(path)
+
+
+@register(
+    "s08_lookup_by_id",
+    with_transactions(
+        """SELECT transaction_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp", amount_inr, sender_bank, fraud_flag
+           FROM transactions WHERE transaction_id IN ('TXN0000000042', 'TXN0000000777')"""
+    ),
+)
+def s08_lookup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two payments by their ids, from the table with Bloom filters."""
+    found = _for_lookup(spark, sf_dir).where(F.col("transaction_id").isin("TXN0000000042", "TXN0000000777"))
+    return as_text(found.select("transaction_id", "timestamp", "amount_inr", "sender_bank", "fraud_flag"))
+
+
+@register(
+    "s08_lookup_by_flag",
+    with_transactions(
+        """SELECT sender_bank, count(*) AS count, CAST(sum(amount_inr) AS BIGINT) AS total_amount
+           FROM transactions WHERE fraud_flag = 1 GROUP BY 1"""
+    ),
+)
+def s08_lookup_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frauds of all days per bank, from the table that lies along a curve over bank, hour and flag."""
+    return _for_lookup(spark, sf_dir).where("fraud_flag = 1").groupBy("sender_bank").agg(rows(), total_amount())
+
+
 @register("s09_write_json_report", REGISTRY["d05_fraud_dashboard"].oracle)
 def s09_write_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fraud dashboard as a JSON report."""

@@ -124,3 +124,38 @@ def test_payments_of_unknown_users_stay(spark, small, tmp_path):
     before = build(spark, str(tmp_path)).first()[0]
     more.write.mode("append").parquet(str(tmp_path / "events.parquet"))
     assert (before, build(spark, str(tmp_path)).first()[0]) == (1005, 1010)
+
+
+def rows_scanned(df):
+    """Rows that come out of the scan, before the filter above it."""
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_lookups_skip_most_rows(spark, medium, tmp_path):
+    """All payments on two days, in small row groups: by id, by flag, by bank and by hour."""
+    t = transactions(spark, medium, with_state=False)
+    day = F.when(F.expr("CAST(substr(transaction_id, 4) AS INT) % 50 = 0"), "2024-01-02").otherwise("2024-01-01")
+    t = t.withColumn("timestamp", day.cast("timestamp_ntz"))
+    path, n = str(tmp_path / "t"), t.count()
+    IO.write_for_lookup(t, path, row_group_bytes=16_000)
+    back = spark.read.parquet(path)
+    assert back.drop("txn_date").exceptAll(t).isEmpty() and back.count() == n
+    one = back.where("transaction_id = 'TXN0000000042'")
+    assert one.count() == 1 and rows_scanned(one) < n / 5
+    assert rows_scanned(back.where("transaction_id = 'TXN9990000042'")) < n / 10
+    for condition, share in (("fraud_flag = 1", 0.6), ("sender_bank = 'SBI'", 0.6), ("sender_bank = 'SBI' AND fraud_flag = 1", 0.3),
+                             ("hour_of_day = 3", 0.6), ("hour_of_day = 3 AND sender_bank = 'SBI' AND fraud_flag = 0", 0.3)):
+        found = back.where(condition)
+        assert found.count() == t.where(condition).count() > 0
+        assert rows_scanned(found) < share * n, condition
+
+
+def test_layout_of_an_empty_table_and_of_nulls(spark, medium, tmp_path):
+    t = transactions(spark, medium, with_state=False).limit(50)
+    IO.write_for_lookup(t.where("false"), str(tmp_path / "none"))
+    some = t.withColumns({"sender_bank": F.lit(None).cast("string"), "fraud_flag": F.lit(None).cast("int")})
+    for name, df in (("null", some), ("timeless", t.withColumn("timestamp", F.lit(None).cast("timestamp_ntz")))):
+        IO.write_for_lookup(df, str(tmp_path / name))
+        assert spark.read.parquet(str(tmp_path / name)).count() == 50
