@@ -16,6 +16,7 @@ from tallywing.operators.ranking import by_magnitude, first_per_group, hash_samp
 from tallywing.plans.corpus import FAILURE_SQL, rows
 from tallywing.plans.dashboard import daily_rollup
 from tallywing.plans.registry import on_transactions, register
+from tallywing.session import scratch_path
 from tallywing.sources.files import read_query, register_sql
 from tallywing.sources.fixture import table, transactions, with_transactions
 
@@ -139,6 +140,30 @@ def dq7_profile_approx(t: DataFrame) -> DataFrame:
     return Q.profile(t)
 
 
+@register(
+    "dq7_profile_days",
+    with_transactions(
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count("{c}") AS nulls, true AS within_error
+                FROM transactions WHERE "timestamp" >= '2024-06-01' AND "timestamp" < '2024-09-01'"""
+            for c in S.TRANSACTION_COLUMNS
+        )
+    ),
+)
+def dq7_profile_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three months of all columns from stored sketches of days, and whether the distinct counts agree with exact ones."""
+    t = transactions(spark, sf_dir)
+    path = scratch_path(spark, "sketches")
+    Q.day_sketches(t, S.TRANSACTION_COLUMNS).write.parquet(path)
+    sketched = Q.profile_days(spark.read.parquet(path), "2024-06-01", "2024-08-31")
+    day = F.to_date("timestamp")
+    summer = t.filter((day >= F.lit("2024-06-01").cast("date")) & (day <= F.lit("2024-08-31").cast("date")))
+    exact = Q.profile(summer, S.TRANSACTION_COLUMNS, exact=True).select("column", F.col("distinct_values").alias("exact"))
+    off = F.abs(F.col("distinct_values") - F.col("exact"))
+    within = off <= F.col("exact") * F.lit(Q.SKETCH_ERROR)
+    return sketched.join(exact, "column").select("column", "rows", "nulls", within.alias("within_error"))
+
+
 @on_transactions("a02_approx_distinct")
 def a02_approx_distinct(t: DataFrame) -> DataFrame:
     return t.agg(

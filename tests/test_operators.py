@@ -301,3 +301,26 @@ def test_null_labels_are_split_like_others(spark):
     assert {r.y: r.n for r in split.where("is_test").groupBy("y").agg(F.count("*").alias("n")).collect()} == {0: 32, 1: 32, None: 16}
     many = stratified_split(spark.range(3000).select("id", (F.col("id") % 1500).alias("y")), "y", "id", 0.5)
     assert many.where("is_test").groupBy("y").count().where("count = 1").count() == 1500
+
+
+def test_sketches_of_days_give_any_range(spark):
+    from tallywing.operators import quality as Q
+
+    at = F.timestamp_seconds(F.col("id") % 40 * 86_400).cast("timestamp_ntz")
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 400 != 7, at).alias("timestamp"), (F.col("id") % 9000).alias("many"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("v"), F.col("id") % 5)).alias("few"), F.lit(None).cast("string").alias("none"),
+    )
+    columns = ["many", "few", "none"]
+    old, new = (Q.day_sketches(rows.where(c), columns) for c in ("day(timestamp) <= 20", "timestamp IS NULL OR day(timestamp) > 20"))
+    sketches = old.unionByName(new)
+    for first, last in ((None, None), ("1970-01-05", "1970-01-25"), ("1970-01-30", None), (None, "1970-01-01")):
+        day = F.to_date("timestamp")
+        held = rows.where((day >= first if first else F.lit(True)) & (day <= last if last else F.lit(True)))
+        want = {r.column: r for r in Q.profile(held, columns, exact=True).collect()}
+        got = {r.column: r for r in Q.profile_days(sketches, first, last).collect()}
+        assert got.keys() == want.keys()
+        for c, w in want.items():
+            assert (got[c].rows, got[c].nulls) == (w.rows, w.nulls)
+            assert abs(got[c].distinct_values - w.distinct_values) <= Q.SKETCH_ERROR * w.distinct_values
+    assert Q.profile_days(sketches, "2001-01-01").isEmpty()
