@@ -9,8 +9,8 @@ is so close that all members of a cell must be similar to each other. Pairs of c
 triangle inequality on angles where it suffices, and member by member where not, in double precision.
 
 Defined cases: vectors that are NULL, empty, zero or hold NULL or non-finite components link with nothing; vectors of different
-lengths don't link; one row per id, an id with several vectors counting with the least of them; a NULL id links with
-nothing; an empty table gives an empty result; equal vectors link; other columns, such as labels, aren't read.
+lengths don't link; rows of one id are vectors of their own, with links between them only where they are similar; a NULL id
+links with nothing; an empty table gives an empty result; equal vectors link; other columns, such as labels, aren't read.
 """
 
 from __future__ import annotations
@@ -70,7 +70,9 @@ def _bucket_keys(unit: np.ndarray, hashes: int, tables: int) -> np.ndarray:
 
 
 def bucketed(vectors: DataFrame, hashes: int, tables: int) -> DataFrame:
-    """(vec_id, unit, keys) of every vector that can link, in double precision."""
+    """(row, vec_id, unit, keys) of every vector, in double precision; unit and keys are NULL where it can't link."""
+
+    names = ["row", "vec_id", "unit", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,24 +80,30 @@ def bucketed(vectors: DataFrame, hashes: int, tables: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 ids, rows = part.column("vec_id").to_pylist(), part.column("embedding").to_pylist()
                 sizes: dict[int, list[int]] = {}
+                alone: list[int] = []
                 arrays = [np.array(r or [], np.float64) for r in rows]  # NULL components become nan
                 for i, a in enumerate(arrays):
                     if ids[i] is not None and len(a) and np.isfinite(a).all() and a.any():
                         sizes.setdefault(len(a), []).append(i)
+                    else:
+                        alone.append(i)
+                if alone:
+                    nothing = (pa.nulls(len(alone), pa.list_(kind)) for kind in (pa.float64(), pa.int64()))
+                    yield pa.record_batch([part.column("row").take(pa.array(alone)), part.column("vec_id").take(pa.array(alone)), *nothing], names)
                 for which in sizes.values():
                     m = np.stack([arrays[i] for i in which])
                     m /= np.abs(m).max(axis=1, keepdims=True)  # squares of very large or small numbers stay finite
                     unit = m / np.sqrt((m * m).sum(axis=1, keepdims=True))
                     keys = _bucket_keys(unit, hashes, tables)
                     yield pa.record_batch(
-                        [pa.array([ids[i] for i in which], pa.int64()), *(
+                        [part.column("row").take(pa.array(which)), part.column("vec_id").take(pa.array(which)), *(
                             pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                             for x in (unit, keys)
                         )],
-                        ["vec_id", "unit", "keys"],
+                        names,
                     )
 
-    return vectors.mapInArrow(run, "vec_id long, unit array<double>, keys array<long>")
+    return vectors.mapInArrow(run, "row long, vec_id long, unit array<double>, keys array<long>")
 
 
 def _with_cosine(df: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
@@ -118,39 +126,44 @@ def _angle(cosine: str = "cosine") -> Column:
 
 
 def cells_of(own: DataFrame, similar: float) -> DataFrame:
-    """(vec_id, cell, angle): each vector's cell and its angle to the pivot, at most half the linking angle."""
+    """(row, cell, angle): each vector's cell and its angle to the pivot, at most half the linking angle."""
     near = math.cos(math.acos(similar) / 2 - SLACK)
-    keys = own.select("vec_id", F.explode("keys").alias("key"))
-    least = keys.groupBy("key").agg(F.min("vec_id").alias("pivot"), F.max("vec_id").alias("other")).where("pivot != other").drop("other")
-    offers = keys.join(least, "key").where("vec_id != pivot").select("vec_id", "pivot").distinct()
-    units = own.select("vec_id", "unit")
-    both = offers.join(units, "vec_id").join(units.toDF("pivot", "pivot_unit"), "pivot")
-    close = _with_cosine(both, "unit", "pivot_unit", ["vec_id", "pivot"]).where(F.col("cosine") >= near)
-    best = close.groupBy("vec_id").agg(F.min(F.struct("pivot", "cosine")).alias("b"))
-    return own.select("vec_id").join(best, "vec_id", "left").select(
-        "vec_id", F.coalesce("b.pivot", "vec_id").alias("cell"), F.when(F.col("b").isNull(), 0.0).otherwise(_angle("b.cosine")).alias("angle")
+    keys = own.select("row", F.explode("keys").alias("key"))
+    least = keys.groupBy("key").agg(F.min("row").alias("pivot"), F.max("row").alias("other")).where("pivot != other").drop("other")
+    offers = keys.join(least, "key").where("row != pivot").select("row", "pivot").distinct()
+    units = own.select("row", "unit")
+    both = offers.join(units, "row").join(units.toDF("pivot", "pivot_unit"), "pivot")
+    close = _with_cosine(both, "unit", "pivot_unit", ["row", "pivot"]).where(F.col("cosine") >= near)
+    best = close.groupBy("row").agg(F.min(F.struct("pivot", "cosine")).alias("b"))
+    return own.select("row").join(best, "row", "left").select(
+        "row", F.coalesce("b.pivot", "row").alias("cell"), F.when(F.col("b").isNull(), 0.0).otherwise(_angle("b.cosine")).alias("angle")
     )
 
 
 def near_duplicates(
     vectors: DataFrame, similar: float = SIMILAR, recall: float = RECALL, plan: Callable[..., tuple[int, int]] = plan_hashes
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): links found between all vectors, a row per id."""
+    """(vec_id, n_links, component_id, kept): links found between all vectors, a row per vector."""
     scratch = Scratch(vectors.sparkSession, "embeddings")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # A row's number within this run tells rows of one id apart; it is written together with all else.
+    numbered = vectors.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
     hashes, tables = plan(vectors.count(), similar, recall)
-    own, own_path = scratch.write(bucketed(rows, hashes, tables), "own")
+    rows, own_path = scratch.write(bucketed(numbered, hashes, tables), "own")
+    own = rows.where("unit IS NOT NULL").drop("vec_id")
     member, _ = scratch.write(cells_of(own, similar), "members")
     cells, cell_path = scratch.write(
         member.groupBy("cell").agg(F.count("*").alias("size"), F.max("angle").alias("radius")).join(
-            own.select(F.col("vec_id").alias("cell"), F.col("unit").alias("pivot")), "cell"
+            own.select(F.col("row").alias("cell"), F.col("unit").alias("pivot")), "cell"
         ),
         "cells",
     )
 
     # Cells that share a bucket. A bucket's vectors are reduced to its cells before they meet.
-    spots = own.select("vec_id", F.explode("keys").alias("key")).join(member.select("vec_id", "cell"), "vec_id").select("key", "cell").distinct()
+    spots = own.select("row", F.explode("keys").alias("key")).join(member.select("row", "cell"), "row").select("key", "cell").distinct()
     pairs = spots.join(spots.toDF("key", "cell_b"), "key").where("cell < cell_b").select("cell", "cell_b").distinct()
     limit = math.acos(similar)
     ends = pairs.join(cells, "cell").join(cells.toDF("cell_b", "size_b", "radius_b", "pivot_b"), "cell_b")
@@ -175,8 +188,8 @@ def near_duplicates(
     # Member by member: first against the other cell's pivot, then, where that doesn't tell, against its members.
     open_ = settled.where("kind = 'some'").select("cell", "cell_b")
     open_ = open_.union(open_.select("cell_b", "cell")).join(cells.toDF("cell_b", "size_b", "radius_b", "pivot_b"), "cell_b")
-    units = own.select("vec_id", "unit").join(member.select("vec_id", "cell"), "vec_id")
-    against = _with_cosine(open_.join(units, "cell"), "unit", "pivot_b", ["vec_id", "cell", "cell_b", "size_b", "radius_b"])
+    units = own.select("row", "unit").join(member.select("row", "cell"), "row")
+    against = _with_cosine(open_.join(units, "cell"), "unit", "pivot_b", ["row", "cell", "cell_b", "size_b", "radius_b"])
     against = against.withColumn("between", _angle()).withColumn(
         "kind",
         F.when(F.col("size_b") == 1, F.when(F.col("cosine") >= similar, "all").otherwise("none"))
@@ -184,34 +197,34 @@ def near_duplicates(
         .when(F.col("between") - F.col("radius_b") > limit + SLACK, "none")
         .otherwise("some"),
     )
-    against, against_path = scratch.write(against.where("kind != 'none'").select("vec_id", "cell", "cell_b", "size_b", "kind"), "against")
+    against, against_path = scratch.write(against.where("kind != 'none'").select("row", "cell", "cell_b", "size_b", "kind"), "against")
     others = units.toDF("other", "other_unit", "cell_b")
-    each = against.where("kind = 'some'").select("vec_id", "cell", "cell_b").join(others, "cell_b").join(own.select("vec_id", "unit"), "vec_id")
-    each = _with_cosine(each, "unit", "other_unit", ["vec_id", "cell", "cell_b"]).where(F.col("cosine") >= similar)
+    each = against.where("kind = 'some'").select("row", "cell", "cell_b").join(others, "cell_b").join(own.select("row", "unit"), "row")
+    each = _with_cosine(each, "unit", "other_unit", ["row", "cell", "cell_b"]).where(F.col("cosine") >= similar)
     linked, _ = scratch.write(
-        against.where("kind = 'all'").select("vec_id", "cell", "cell_b", F.col("size_b").alias("n")).union(
-            each.groupBy("vec_id", "cell", "cell_b").agg(F.count("*").alias("n"))
+        against.where("kind = 'all'").select("row", "cell", "cell_b", F.col("size_b").alias("n")).union(
+            each.groupBy("row", "cell", "cell_b").agg(F.count("*").alias("n"))
         ),
         "linked",
     )
-    edges = member.select(F.col("vec_id").alias("a"), F.col("cell").alias("b")).union(whole.select("cell", "cell_b")).union(
+    edges = member.select(F.col("row").alias("a"), F.col("cell").alias("b")).union(whole.select("cell", "cell_b")).union(
         linked.select("cell", "cell_b")
     )
     groups = components(edges, scratch)
-    counted = (
+    found = (
         member.join(cells.select("cell", F.col("size") - 1), "cell")
-        .toDF("cell", "vec_id", "angle", "own_n")
+        .toDF("cell", "row", "angle", "own_n")
         .join(per_cell, "cell", "left")
-        .join(linked.groupBy("vec_id").agg(F.sum("n").alias("m")), "vec_id", "left")
-        .select("vec_id", (F.col("own_n") + F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n_links"))
+        .join(linked.groupBy("row").agg(F.sum("n").alias("m")), "row", "left")
+        .select("row", (F.col("own_n") + F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n_links"))
     )
     # Written, so that the tables that only the steps above need can go.
+    counted = rows.select("row", "vec_id").join(found, "row", "left").join(groups.withColumnRenamed("id", "row"), "row", "left")
     counted, _ = scratch.write(counted, "counted")
     scratch.drop(own_path, cell_path, settled_path, against_path)
+    least = counted.where("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("least"))
     return (
-        rows.select("vec_id")
-        .join(counted, "vec_id", "left")
-        .join(groups.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        counted.join(least, "component", "left")
+        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
