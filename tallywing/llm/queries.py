@@ -49,32 +49,30 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Line dedup in DuckDB: the same cuts and the same keeper, chunks compared by their text from the start.
+# Line dedup in DuckDB: windows of two written lines and lines of 50 words alone, compared by their text; no chunks.
 LINES_SQL = """
 WITH line AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i,
-         len(string_split(text, chr(10))) AS n
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
   FROM documents WHERE text IS NOT NULL
-), hashed AS (
-  SELECT *, CAST('0x' || substr(md5(l), 1, 8) AS BIGINT) AS h FROM line
-), marked AS (
-  SELECT *, ((coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 1000003 + h) % 2147483647) % 2 = 0 AS mark FROM hashed
-), cut AS (
-  SELECT *, i >= 1 AND i <= n - 3 AND mark AND NOT lag(mark) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM marked
-), numbered AS (
-  SELECT *, coalesce(sum(CAST(last AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
-  FROM cut
-), chunk AS (
-  SELECT doc_id, k, string_agg(l, chr(10) ORDER BY i) AS chunk, count(*) AS size FROM numbered GROUP BY doc_id, k
+), written AS (
+  SELECT doc_id, l, i, lead(l) OVER w AS next_l, lead(i) OVER w AS next_i
+  FROM line WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), piece AS (
+  SELECT doc_id, i AS a, next_i AS b, 2 AS n, l || chr(10) || next_l AS piece FROM written WHERE next_i IS NOT NULL
+  UNION ALL SELECT doc_id, i, i, 1, l FROM written
+  WHERE len(list_filter(regexp_split_to_array(l, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) >= 50
+), gone AS (
+  SELECT doc_id, unnest(range(a, b + 1)) AS i FROM (
+    SELECT * FROM piece QUALIFY row_number() OVER (PARTITION BY n, piece ORDER BY doc_id, a) > 1)
 ), judged AS (
-  SELECT *, size > 1 AND regexp_matches(chunk, '[^\\s]')
-            AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone
-  FROM chunk
+  SELECT line.doc_id, line.i, l, g.i IS NOT NULL AS gone
+  FROM line LEFT JOIN (SELECT DISTINCT doc_id, i FROM gone) g ON g.doc_id = line.doc_id AND g.i = line.i
+), runs AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS first FROM judged
 )
-SELECT doc_id, CAST(sum(size) AS BIGINT) AS n_lines, CAST(coalesce(sum(size) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines,
-       CAST(count(*) FILTER (WHERE gone) AS INT) AS removed_chunks,
-       md5(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS text_md5
-FROM judged GROUP BY doc_id
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS removed_lines, CAST(count(*) FILTER (WHERE first) AS INT) AS removed_chunks,
+       md5(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_md5
+FROM runs GROUP BY doc_id
 UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
