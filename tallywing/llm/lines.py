@@ -53,13 +53,13 @@ def add_spans(df: DataFrame) -> DataFrame:
     """
     return (
         df.withColumn("units", F.transform("at", lambda i: F.get("lines", i)))
-        .withColumn("long", F.transform("units", lambda u: u.rlike(LONG)))
-        .withColumn("h", F.expr("transform(units, u -> pmod(xxhash64(u), 2147483647L))"))
+        # One array for both: a column that is named only once would be put into the lambda and made anew for every line.
+        .withColumn("facts", F.transform("units", lambda u: F.struct(F.pmod(F.xxhash64(u), F.lit(2147483647)).alias("h"), u.rlike(LONG).alias("long"))))
         .withColumn(
             "ends",
             F.expr(
-                "filter(transform(h, (x, j) -> j), j -> j = size(h) - 1"
-                " or j > 0 and (get(h, j - 1) * 1000003L + get(h, j)) % 2147483647L % 3 = 0)"
+                "filter(transform(facts, (x, j) -> j), j -> j = size(facts) - 1"
+                " or j > 0 and (get(facts, j - 1).h * 1000003L + get(facts, j).h) % 2147483647L % 3 = 0)"
             ),
         )
         .withColumn("starts", F.expr("transform(ends, (e, i) -> if(i = 0, 0, get(ends, i - 1) + 1))"))
@@ -69,8 +69,8 @@ def add_spans(df: DataFrame) -> DataFrame:
                 "flatten(transform(arrays_zip(starts, ends), c -> concat("
                 f"filter(array(named_struct('kind', {CHUNK}, 'k', c.starts, 'n', c.ends - c.starts + 1, 'chunk', c.starts)), s -> s.n > 1),"
                 f"filter(transform(sequence(c.starts, c.ends), j -> named_struct('kind', {WINDOW}, 'k', j, 'n', 2,"
-                " 'chunk', if(j = c.ends, -1, c.starts))), s -> s.k < size(h) - 1),"
-                f"transform(filter(sequence(c.starts, c.ends), j -> get(long, j)), j -> named_struct('kind', {WINDOW}, 'k', j, 'n', 1,"
+                " 'chunk', if(j = c.ends, -1, c.starts))), s -> s.k < size(facts) - 1),"
+                f"transform(filter(sequence(c.starts, c.ends), j -> get(facts, j).long), j -> named_struct('kind', {WINDOW}, 'k', j, 'n', 1,"
                 " 'chunk', c.starts)))))"
             ),
         )
@@ -158,10 +158,14 @@ def dedup_lines(docs: DataFrame, mark=fingerprint) -> DataFrame:
     # Set difference by hash, not a search for every line.
     kept = F.expr("array_join(transform(array_except(transform(lines, (l, i) -> i), out), i -> get(lines, i)), '\n')")
     runs = F.expr("size(filter(out, (x, i) -> i = 0 or get(out, i - 1) != x - 1))")
+    cut = F.struct(kept.alias("text"), F.size("out").alias("lines"), runs.alias("runs"))
+    # One row in, one row out: filters on the new columns then stay above. Moved below they would hold the whole chain again, once
+    # for every line.
+    out = out.select("text", "row", loses.alias("loses"), F.explode_outer(F.array(F.when(loses, cut))).alias("cut"))
     lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     return out.select(
-        *[(F.when(loses, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"row.`{c}`")) for c in others],
+        *[(F.when(F.col("loses"), F.col("cut.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"row.`{c}`")) for c in others],
         F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"),
-        F.when(loses, F.size("out")).otherwise(0).cast("long").alias("removed_lines"),
-        F.when(loses, runs).otherwise(0).cast("int").alias("removed_chunks"),
+        F.coalesce("cut.lines", F.lit(0)).cast("long").alias("removed_lines"),
+        F.coalesce("cut.runs", F.lit(0)).cast("int").alias("removed_chunks"),
     )
