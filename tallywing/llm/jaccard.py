@@ -17,7 +17,7 @@ What reaches the driver has a fixed bound: the frequent shingles (each in a thou
 SLOTS bytes or BITS bits that thin out rows before a shuffle.
 
 Defined cases: NULL and empty texts have no shingles and link with nothing; fewer than five words are one shingle;
-rows with equal ids are one node, each with its own size; a NULL id has no links and a NULL component; an empty table
+rows with equal ids are one node, each with its own size (`one_of_each` keeps one of those with equal texts); a NULL id has no links and a NULL component; an empty table
 gives an empty result; ties can't occur, as the least id names a component; further columns aren't read by
 `link_documents` and pass through `one_of_each` as they are.
 """
@@ -403,6 +403,18 @@ def link_documents(docs: DataFrame, similar: int = SIMILAR, k: int = K) -> DataF
 
 
 def one_of_each(docs: DataFrame, similar: int = SIMILAR, k: int = K) -> DataFrame:
-    """The rows of `docs` whose id names their component: one document of each group, with all its columns."""
+    """The rows of `docs` whose id names their component: one document of each group, with all its columns. Of rows that agree in
+    id and text one stays; rows of one id and different texts stay both, and so do all with a NULL id.
+    """
     groups = link_documents(docs, similar, k)
-    return rows_by_id(docs, groups.where("doc_id != component_id").select("doc_id").distinct(), "left_anti")
+    rows = rows_by_id(docs, groups.where("doc_id != component_id").select("doc_id").distinct(), "left_anti")
+    twice = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    twice, path = Scratch(docs.sparkSession, "jaccard").write(twice, "twice")
+    if twice.isEmpty():
+        Scratch(docs.sparkSession, "jaccard").drop(path)
+        return rows
+    # Only texts whose id stands several times are grouped. Which of two rows stays doesn't depend on the order of rows.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = rows_by_id(rows, twice, "left_semi").select(row.alias("row"))
+    several = several.groupBy("row.doc_id", "row.text").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return rows_by_id(rows, twice, "left_anti").union(several)

@@ -69,7 +69,7 @@ def test_lines_of_rows_that_share_an_id(spark):
     assert clash == got
 
 
-def test_jaccard(docs, none):
+def test_jaccard(spark, docs, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_documents(docs).collect()), key=repr)
     by = {i: (n, c) for i, n, c in got if i is not None}
     assert len(got) == len(TEXTS)
@@ -80,7 +80,9 @@ def test_jaccard(docs, none):
     assert jaccard.link_documents(none).count() == 0
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 1, 2, 3, 4, 5, 6, 7, None, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, 3, 4, 5, 6, 7, None, None]
+    two = spark.createDataFrame([(1, SAME, "b"), (1, SAME, "a"), (1, "other", "c"), (2, SAME, "d"), (None, SAME, "e")], "doc_id long, text string, lang string")
+    assert sorted(tuple(r) for r in jaccard.one_of_each(two).where("doc_id is not null").collect()) == [(1, SAME, "a"), (1, "other", "c")]
 
 
 def test_decontaminate(docs, none, items):
@@ -156,3 +158,21 @@ def test_embeddings(spark):
     want += [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)]
     assert got == sorted(want, key=str) and len(got) == len(rows)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    """The pipeline's own rules on NULLs, empty texts, repeated and NULL ids and a very long text, and on an empty table."""
+    import corpus_pipeline
+
+    rows = [(i, t, None, "s", None if t is None else len(t)) for i, t in TEXTS]
+    edges = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    cut = corpus_pipeline.without_repeats(spark, edges, str(tmp_path))
+    assert cut.columns == corpus_pipeline.COLUMNS
+    cut = cut.collect()
+    # Of the copies of SAME, the row without an id stands first; the others have no words left and go.
+    assert sorted((r.doc_id for r in cut), key=repr) == [2, 3, 4, 5, 6, 7, None, None]
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in cut)
+    assert corpus_pipeline.without_repeats(spark, edges.limit(0), str(tmp_path)).count() == 0
+    near = corpus_pipeline.one_of_each(spark, edges, str(tmp_path))
+    assert near.columns == corpus_pipeline.COLUMNS
+    assert sorted((r.doc_id for r in near.collect()), key=repr) == [1, 2, 3, 4, 5, 6, 7, None, None]
