@@ -1,12 +1,16 @@
 """A corpus pipeline of five operators; each stage's result is written as Parquet and read again as the next one's input.
 
 quality    rows that the classifier rejects go
-lines      repeated multi-line chunks go from the texts; a row of whose words nothing is left goes
+lines      repeated passages of lines go from the texts; a row of whose words nothing is left goes
 near       one document of each group of near-duplicates stays
 benchmark  rows with a benchmark passage go
 pack       the rest as pieces of sequences of 1024 ids
 
 All stages but the last return the columns of `documents`, n_chars being counted anew where a text has changed.
+
+Defined cases, each by the operator of the stage: a NULL or empty text is a document without words, which the classifier scores and
+no other stage removes; rows with a NULL id keep their lines, link with nothing and are packed; of rows that agree in id and text
+one stays; columns other than those of `documents` are left out; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, repeated chunks left out; but a row that had words and has none any more goes."""
+    """All rows, repeated passages left out; but a row that had words and has none any more goes."""
     out = lines.dedup_lines(docs)
     emptied = (F.col("removed_chunks") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\s]")
     changed = F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
