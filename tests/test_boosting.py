@@ -68,3 +68,20 @@ def test_rows_without_a_label_are_refused(spark):
     for bad in (rows.limit(0), rows.withColumn("label", F.when(F.col("id") != 3, F.col("label")))):
         with pytest.raises(ValueError):
             B.fit_boosted(bad, learner(2, 3), 1.0)
+
+
+def test_decisions_are_made_once_for_all_chunks_of_a_task(monkeypatch):
+    """Their cost does not grow with the rows."""
+    bins = B.Bins([np.arange(9) + 0.5, np.arange(3) + 0.5], [[(0, 1), (1, 10)]])
+    tree, calls, made = B.Tree.empty(2), [], B.decisions
+    tree.feature[:3], tree.split[:3] = [0, 1, 0], [4, 1, 7]
+    monkeypatch.setattr(B, "decisions", lambda *a: calls.append(a) or made(*a))
+    rng = np.random.default_rng(4)
+    chunks = [(rng.integers(0, 40, (1, 50)).astype(np.uint16), np.ones(50, np.int8), np.zeros(50)) for _ in range(3)]
+    list(B.level_sums(chunks, bins, tree, 1, 2.0, True))
+    tree.stats[:, 0], tree.stats[:, 1] = 1.0, np.arange(7)
+    moved = list(B.add_tree(chunks, bins, tree, 2, 0.5))
+    assert len(calls) == 2
+    for (codes, _, _), (_, _, score) in zip(chunks, moved):
+        a, b = codes[0] % 10, codes[0] // 10
+        assert (score == 0.5 * np.where(a > 4, np.where(a > 7, 6, 5), np.where(b > 1, 4, 3))).all()

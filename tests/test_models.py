@@ -117,6 +117,36 @@ def test_shared_tables_against_brute_force(monkeypatch, rows):
     assert A.contributions(x[:0], tables).shape == (0, 5)
 
 
+@pytest.mark.parametrize("codes", [1, 8, 2048])
+def test_ranks_of_several_features_share_a_code(monkeypatch, codes):
+    """A row needs a look-up per code, not one per feature; a table too long for short numbers has the same sums."""
+    monkeypatch.setattr(A, "CODES", codes)
+    nodes, depth = [], 12
+    for i in range(depth):  # a chain that asks every feature once
+        nodes += [(0, 2 * i, 0.0, 4096.0 / 2**i, 2 * i + 1, 2 * i + 2, i, 0.5), (0, 2 * i + 1, float(i), 2048.0 / 2**i, -1, -1, -1, None)]
+    nodes.append((0, 2 * depth, -7.0, 1.0, -1, -1, -1, None))
+    frame = pd.DataFrame(nodes, columns=["tree", "id", "prediction", "weight", "left", "right", "feature", "threshold"])
+    x = np.array([[0] * 12, [1] * 12, [1, 0] * 6, [np.nan] * 12], dtype=float)
+    found = []
+    for rows in (512, 1 << 16):
+        monkeypatch.setattr(A, "TABLE_ROWS", rows)
+        tables, base = A.leaf_tables(frame, [0.5], 12)
+        widest = max(len(t.codes) for t in tables.tables)
+        assert widest == {1: 12, 8: 4, 2048: 2}[codes] and all(len(w) <= max(codes, 2) for t in tables.tables for _, w in t.codes)
+        found.append(A.contributions(x, tables))
+        assert np.allclose(base + found[-1].sum(axis=1), [0, -7, 1, -7])
+    assert np.allclose(*found)
+
+
+def test_contributions_are_ranked_by_magnitude_then_name(spark, small):
+    model, rows = scored_with_features(spark, small)
+    for r in A.with_attributions(model, rows).limit(200).collect():
+        named = zip(S.FEATURE_COLUMNS, r.exact_contributions)
+        rounded = {c.feature: c.value for c in r.contributions}
+        assert all(abs(rounded[f] - v) <= 0.5001e-4 for f, v in named) and len(rounded) == len(S.FEATURE_COLUMNS)
+        assert [c.feature for c in r.contributions] == sorted(rounded, key=lambda f: (-abs(rounded[f]), f))
+
+
 def test_contributions_add_up_to_log_odds(spark, small):
     model, rows = scored_with_features(spark, small)
     out = A.with_attributions(model, rows)
