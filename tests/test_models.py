@@ -147,6 +147,20 @@ def test_contributions_are_ranked_by_magnitude_then_name(spark, small):
         assert [c.feature for c in r.contributions] == sorted(rounded, key=lambda f: (-abs(rounded[f]), f))
 
 
+def test_training_computes_its_rows_once(spark, small):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = M.select_features(transactions(spark, small)).limit(300).coalesce(1)
+    rows = spark.createDataFrame(rows.collect(), rows.schema).mapInArrow(look, rows.schema)
+    assert M.train_fraud(rows, trees=1, depth=2).trees.getNumTrees == 1
+    assert seen.value == 300
+
+
 def test_contributions_add_up_to_log_odds(spark, small):
     model, rows = scored_with_features(spark, small)
     out = A.with_attributions(model, rows)
