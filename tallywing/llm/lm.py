@@ -5,9 +5,10 @@ depend on how often the context occurred (a bucket per power of two) and are lea
 every training token is held out in turn, its estimates being taken from the counts without it.
 
 Counts move as packed columns, not as rows. A chunk is the texts of one step of a task. Its different n-grams go to
-`parts` by a hash, each once, as sorted differences in byte planes with the chunk's own count; a part sums them up and
-answers each chunk in the order it asked. So no n-gram is hot (a chunk sends it once), and a part has a bounded size
-because their number follows the input.
+`parts` by ranges of their hash, each once, as sorted differences in byte planes with the chunk's own count; a part sums
+them up and answers each chunk in the order it asked. So no n-gram is hot (a chunk sends it once). A chunk and a part
+exchange one message each way: chunks and parts both grow with the square root of the input (`sizes`), so messages stay as
+long and their number is in proportion to the input, up to GROWN times the least sizes.
 
 1. `chunks` writes tokens as codes into each chunk's vocabulary.
 2. `asked` and `answers` exchange counts; `counted` writes each token's counts of every order.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +38,19 @@ from tallywing.llm.spans import Texts, mix, steps
 #: Order of the model by default; 1, 2 and 3 are possible.
 ORDER = 2
 
-#: Bytes of text in a chunk.
+#: Bytes of text in a chunk, at least.
 CHUNK_BYTES = 3 << 19
 
-#: Bytes that the n-grams of one part take, about.
+#: Bytes that the n-grams of one part take, about, at least.
 PART_BYTES = 4 << 20
 
+#: Chunks and parts are larger by the square root of the text over this many bytes, but GROWN times at most.
+BASE_BYTES = 1 << 30
+GROWN = 6
+
+#: Bytes of messages that a task hands over at a time, about.
+SEND_BYTES = 2 << 20
+
 #: Held-out estimates are counted in steps of this many to a doubling; only the weights depend on it.
 FINENESS = 8
 
@@ -53,13 +62,25 @@ EM_ROUNDS = 60
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 
 
+def sizes(text_bytes: int) -> tuple[int, int]:
+    """Bytes of text in a chunk and of n-grams in a part, for a table with so many bytes of text."""
+    grown = min(max(math.sqrt(text_bytes / BASE_BYTES), 1), GROWN)
+    return int(CHUNK_BYTES * grown), int(PART_BYTES * grown)
+
+
 def pack(values: np.ndarray) -> bytes:
-    """64-bit numbers as byte planes, which compress well where high bytes are alike."""
-    return np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers as planes of their bytes, as many as the largest number has, behind the number of planes."""
+    width = max((int(values.max()).bit_length() + 7) // 8, 1) if len(values) else 1
+    planes = np.ascontiguousarray(values.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + planes.tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
+    planes = np.frombuffer(raw, np.uint8)[1:].reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    for i, plane in enumerate(planes):
+        out[:, i] = plane
+    return out.view("<u8").ravel().astype(np.uint64, copy=False)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -70,30 +91,50 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw), dtype=np.uint64)
 
 
-def chunks(docs: DataFrame, held_out: Column) -> DataFrame:
-    """(chunk, doc_ids, held, lengths, vocabulary, codes, train): tokens of a chunk's texts, `train` counting training tokens."""
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that have about `limit` bytes of text, or one row."""
+    open_: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in steps(batch, "text", max(limit // 8, 1)):
+            own = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if open_ and size + own > limit:
+                yield from pa.Table.from_batches(open_).combine_chunks().to_batches()
+                open_, size = [], 0
+            open_.append(part)
+            size += own
+    if open_:
+        yield from pa.Table.from_batches(open_).combine_chunks().to_batches()
+
+
+def chunks(docs: DataFrame, held_out: Column, chunk_bytes: int) -> DataFrame:
+    """(chunk, doc_ids, held, lengths, vocabulary, codes, tokens, train, texts): tokens of a chunk's texts and their number, `train` and
+    `texts` counting training tokens and texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in steps(batch, "text", CHUNK_BYTES):
-                hashes, first = Texts(part.column("text")).word_hashes()
-                n = np.diff(first) + 1
-                tokens = np.insert(hashes, first[1:], END)
-                vocabulary, codes = np.unique(tokens, return_inverse=True)
-                held = part.column("held").fill_null(False).to_numpy(zero_copy_only=False)
-                yield pa.record_batch(
-                    [
-                        pa.array([number], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                        pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([n.tolist()], pa.list_(pa.int64())),
-                        pa.array([pack_sorted(vocabulary)], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary()),
-                        pa.array([int(n[~held].sum())], pa.int64()), pa.array([int((~held).sum())], pa.int64()),
-                    ],
-                    ["chunk", "doc_ids", "held", "lengths", "vocabulary", "codes", "train", "texts"],
-                )
-                number += 1
-
-    schema = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, vocabulary binary, codes binary, train long, texts long"
+        for part in gathered(batches, chunk_bytes):
+            hashes, first = Texts(part.column("text")).word_hashes()
+            n = np.diff(first) + 1
+            tokens = np.insert(hashes, first[1:], END)
+            vocabulary, codes = np.unique(tokens, return_inverse=True)
+            held = part.column("held").fill_null(False).to_numpy(zero_copy_only=False)
+            yield pa.record_batch(
+                [
+                    pa.array([number], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([n.tolist()], pa.list_(pa.int64())),
+                    pa.array([pack_sorted(vocabulary)], pa.binary()), pa.array([pack(codes)], pa.binary()), pa.array([len(codes)], pa.int64()),
+                    pa.array([int(n[~held].sum())], pa.int64()), pa.array([int((~held).sum())], pa.int64()),
+                ],
+                ["chunk", "doc_ids", "held", "lengths", "vocabulary", "codes", "tokens", "train", "texts"],
+            )
+            number += 1
+
+    schema = (
+        "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, vocabulary binary, codes binary, "
+        "tokens long, train long, texts long"
+    )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
 
@@ -102,7 +143,7 @@ class Chunk:
     """The n-grams of a chunk: per order the different ones, and which of them each token ends."""
 
     def __init__(self, row: dict, order: int):
-        vocabulary, codes = unpack_sorted(row["vocabulary"]), np.frombuffer(row["codes"], "<i4")
+        vocabulary, codes = unpack_sorted(row["vocabulary"]), unpack(row["codes"])
         self.lengths = np.array(row["lengths"], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)])
         self.train = np.repeat(~np.array(row["held"], bool), self.lengths)
@@ -122,71 +163,83 @@ class Chunk:
 
 
 def asked(chunked: DataFrame, order: int, parts: int) -> DataFrame:
-    """(part, chunk, o, keys, counts): each chunk's different n-grams of order o with its own training counts."""
+    """(part, chunk, keys, counts): of each order, the chunk's different n-grams in the part's range and its own training counts."""
+    # A key's part is the product of its upper half and `parts`, over 2 ** 32; these are the least keys of each.
+    least = ((np.arange(parts, dtype=np.uint64) << np.uint64(32)) + np.uint64(parts - 1)) // np.uint64(parts) << np.uint64(32)
+
+    def message(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+        return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "chunk", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 c = Chunk(row, order)
-                out = []
-                for o, (keys, which) in enumerate(zip(c.keys, c.which, strict=True), 1):
-                    counts = np.bincount(which[c.train], minlength=len(keys)).astype(np.uint64)
-                    part = (keys % np.uint64(parts)).astype(np.int64)
-                    by = np.argsort(part, kind="stable")
-                    cuts = np.searchsorted(part[by], np.arange(parts + 1))
-                    for p in np.flatnonzero(np.diff(cuts)).tolist():
-                        own = by[cuts[p] : cuts[p + 1]]
-                        out.append((p, row["chunk"], o, pack_sorted(keys[own]), pack(counts[own])))
-                cols = zip(*out, strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.record_batch([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["part", "chunk", "o", "keys", "counts"])
+                counts = [np.bincount(w[c.train], minlength=len(k)).astype(np.uint64) for k, w in zip(c.keys, c.which, strict=True)]
+                cuts = [np.append(np.searchsorted(k, least), len(k)).tolist() for k in c.keys]
+                out, size = [], 0
+                for p in range(parts):
+                    own = [slice(x[p], x[p + 1]) for x in cuts]
+                    if any(x.stop > x.start for x in own):
+                        keys = [pack_sorted(k[x]) for k, x in zip(c.keys, own, strict=True)]
+                        out.append((p, row["chunk"], keys, [pack(n[x]) for n, x in zip(counts, own, strict=True)]))
+                        size += sum(map(len, keys))
+                    if size > SEND_BYTES:
+                        yield message(out)
+                        out, size = [], 0
+                if out:
+                    yield message(out)
 
     return chunked.select("chunk", "held", "lengths", "vocabulary", "codes").mapInArrow(
-        run, "part long, chunk long, o long, keys binary, counts binary"
+        run, "part long, chunk long, keys array<binary>, counts array<binary>"
     )
 
 
-def answers(questions: DataFrame) -> DataFrame:
-    """(chunk, part, o, totals, known): counts over all chunks, in the order of the keys asked; `known`, in a row with
-    chunk -1, is the number of different training n-grams of the part.
+def answers(questions: DataFrame, order: int) -> DataFrame:
+    """(chunk, part, totals, known): of each order, counts over all chunks, in the order of the keys asked; `known`, in a row
+    with chunk -1, is the number of different training n-grams of the part.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        orders = table.column("o").to_numpy()
-        for o in np.unique(orders).tolist():
-            rows = table.filter(pa.array(orders == o)).to_pylist()
-            keys = [unpack_sorted(r["keys"]) for r in rows]
-            every, which = np.unique(np.concatenate(keys), return_inverse=True)
-            counts = np.concatenate([unpack(r["counts"]) for r in rows])
-            total = np.zeros(len(every), np.uint64)
-            np.add.at(total, which, counts)
+        table = table.combine_chunks()
+        part, asking = table.column("part")[0].as_py(), table.column("chunk").to_pylist()
+        totals: list[list[bytes]] = [[] for _ in asking]
+        known = []
+        for o in range(order):
+            keys = [unpack_sorted(x) for x in pc.list_element(table.column("keys"), o).to_pylist()]
             cuts = np.cumsum([0, *map(len, keys)])
-            out += [(r["chunk"], r["part"], o, pack(total[which[i:j]]), 0) for r, i, j in zip(rows, cuts[:-1], cuts[1:], strict=True)]
-            out.append((-1, rows[0]["part"], o, b"", int((total > 0).sum())))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-        columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
-        return pa.table(columns, ["chunk", "part", "o", "totals", "known"])
-
-    return questions.groupBy("part").applyInArrow(run, "chunk long, part long, o long, totals binary, known long")
-
-
-def counted(chunked: DataFrame, replies: DataFrame, order: int, parts: int) -> DataFrame:
-    """(doc_ids, held, lengths, counts): for every token its training count of each order, packed one after another."""
-    per = replies.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("o", "part", "totals")).alias("replies"))
+            every = np.concatenate(keys)
+            by = np.argsort(every)
+            every = every[by]
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else by
+            counts = np.concatenate([unpack(x) for x in pc.list_element(table.column("counts"), o).to_pylist()])
+            summed = np.add.reduceat(counts[by], first) if len(every) else counts
+            known.append(int((summed > 0).sum()))
+            total = np.empty(len(every), np.uint64)
+            total[by] = np.repeat(summed, np.diff(np.append(first, len(every))))
+            for own, i, j in zip(totals, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own.append(pack(total[i:j]))
+        rows = [*zip(asking, [part] * len(asking), totals, [None] * len(asking), strict=True), (-1, part, None, known)]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "part", "totals", "known"])
+
+    return questions.groupBy("part").applyInArrow(run, "chunk long, part long, totals array<binary>, known array<long>")
+
+
+def counted(chunked: DataFrame, replies: DataFrame, order: int) -> DataFrame:
+    """(doc_ids, held, lengths, c1..): for every token its training count of each order, packed one after another."""
+    per = replies.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "totals")).alias("replies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 c = Chunk(row, order)
-                found = {(r["o"], r["part"]): r["totals"] for r in row["replies"]}
+                found = sorted(row["replies"], key=lambda r: r["part"])  # parts are ranges of keys
                 counts = []
-                for o, (keys, which) in enumerate(zip(c.keys, c.which, strict=True), 1):
-                    part = (keys % np.uint64(parts)).astype(np.int64)
-                    total = np.empty(len(keys), np.uint64)
-                    total[np.argsort(part, kind="stable")] = np.concatenate([unpack(found[o, p]) for p in np.unique(part).tolist()])
+                for o, which in enumerate(c.which):
+                    total = np.concatenate([unpack(r["totals"][o]) for r in found])
                     counts.append(pa.array([pack(total[which])], pa.binary()))
                 yield pa.record_batch(
                     [batch.slice(i, 1).column(x) for x in ("doc_ids", "held", "lengths")] + counts,
@@ -194,7 +247,8 @@ def counted(chunked: DataFrame, replies: DataFrame, order: int, parts: int) -> D
                 )
 
     columns = ", ".join(f"c{o} binary" for o in range(1, order + 1))
-    return chunked.join(per, "chunk").mapInArrow(run, f"doc_ids array<long>, held array<boolean>, lengths array<long>, {columns}")
+    rows = chunked.select("chunk", "doc_ids", "held", "lengths", "vocabulary", "codes").join(per, "chunk")
+    return rows.mapInArrow(run, f"doc_ids array<long>, held array<boolean>, lengths array<long>, {columns}")
 
 
 class Estimates:
@@ -321,13 +375,14 @@ def _score_documents(docs: DataFrame, held_out: Column | None, order: int) -> Da
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     held_out = fold("doc_id", 7) == 2 if held_out is None else held_out
-    chunked, chunk_path = scratch.write(chunks(docs, held_out), "chunks")
-    sums = chunked.agg(F.sum("train").alias("n"), F.sum("texts").alias("t"), F.sum(F.octet_length("codes")).alias("b")).first()
+    chunk_bytes, part_bytes = sizes(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+    chunked, chunk_path = scratch.write(chunks(docs, held_out, chunk_bytes), "chunks")
+    sums = chunked.agg(F.sum("train").alias("n"), F.sum("texts").alias("t"), F.sum("tokens").alias("b")).first()
     total, texts = sums["n"] or 0, sums["t"] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((sums["b"] or 0) / 4 * 9 * (order - 0.5) / PART_BYTES))
-    replies, reply_path = scratch.write(answers(asked(chunked, order, parts)), "replies")
-    words = replies.where("chunk = -1 and o = 1").agg(F.sum("known")).first()[0] or 0
-    rows, rows_path = scratch.write(counted(chunked, replies, order, parts), "counted")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((sums["b"] or 0) * 9 * (order - 0.5) / part_bytes))
+    replies, reply_path = scratch.write(answers(asked(chunked, order, parts), order), "replies")
+    words = replies.where("chunk = -1").agg(F.sum(F.col("known")[0])).first()[0] or 0
+    rows, rows_path = scratch.write(counted(chunked, replies, order), "counted")
     scratch.drop(chunk_path, reply_path)
     cells = held_out_statistics(rows, order, total, texts, 1 / (words + 1)).toArrow()
     learnt = learn_weights(np.stack([cells.column(x).to_numpy() for x in cells.column_names], axis=1), order) if len(cells) else {}

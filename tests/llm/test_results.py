@@ -237,6 +237,38 @@ def test_lm_against_brute_force(spark, order):
             assert math.isclose(every, 1, rel_tol=1e-9)
 
 
+def test_lm_messages_are_in_proportion_to_the_text(spark, monkeypatch):
+    """A message goes from each chunk to each part: their number doesn't grow with the square of the input, and the results stay."""
+    texts = 30 * (1 << 30)  # 30 times as much text as the least sizes are for
+    counts = []
+    for t in (texts // 30, texts):
+        chunk, part = lm.sizes(t)
+        counts.append((t // chunk) * (t // part))
+    assert counts[1] < 40 * counts[0]
+
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(200))) for i in range(600)]
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(lm, "PART_BYTES", 20_000)
+    monkeypatch.setattr(lm, "BASE_BYTES", 20_000)
+    sent, scores = [], []
+    was = lm.asked
+
+    def asked(chunked, order, parts):
+        out = was(chunked, order, parts)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(lm, "asked", asked)
+    for n in (100, 600, 600):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string").coalesce(1)
+        scores.append(sorted(tuple(r) for r in lm.score_documents(docs).collect()))
+        monkeypatch.setattr(lm, "GROWN", 6 if n == 100 else 1)
+    assert sent[1] < 10 * sent[0] < sent[2]
+    assert scores[1] == [(*a[:-2], pytest.approx(a[-2]), pytest.approx(a[-1])) for a in scores[2]]
+
+
 def test_em_finds_the_weights_of_a_mixture():
     rng = np.random.default_rng(2)
     q = 2.0 ** rng.integers(-3, 6, (40_000, 2))
