@@ -4,17 +4,19 @@ Two documents link when their sets of distinct 5-word shingles have a Jaccard si
 joined in blocks of bounded size, each by a signature tree (`signature_tree`): nodes with OR-combined bitmaps and
 size ranges, walked in pairs, node pairs being left out by their largest possible overlap.
 
-1. `summaries`: size and digest of every set. Equal sets form a class; one of it stands for all from here on.
+1. `summaries`: size and digest of every set, and counts of common words and shingles, in one pass over the texts. Equal sets
+   form a class; one of it stands for all from here on.
 2. First blocks: documents that share one of their HEADS smallest shingles. Most similar documents meet here, and a
    tree finds links that connect them, whole sets being compared. Blocks of frequent shingles are split.
 3. Second blocks, which make the join exact: two similar sets share a shingle among the first (n - 0.75 n + 1) of each,
-   in any fixed order; shingles frequent in the corpus come last in ours. Shingles that meet documents of different
-   components bring these into a block. Here a tree over bitmaps of fixed size leaves out pairs that can't be similar, and the
+   in any fixed order. Ours (`Order`) begins with shingles of rare words; those of common words, which unrelated documents share by
+   chance, come late, and those frequent in the corpus last. Shingles that meet documents of different components bring these into a block. Here a tree over bitmaps of fixed size leaves out pairs that can't be similar, and the
    whole sets of what is left are compared.
 4. Components of all links.
 
-What reaches the driver has a fixed bound: the frequent shingles (each in a thousandth of the documents or more) and tables of
-SLOTS bytes or BITS bits that thin out rows before a shuffle.
+What reaches the driver has a fixed bound: the frequent shingles (each seen in a FREQUENT share of the documents or more), the common
+words (a COMMON share of all words or more), and tables that thin out rows before a shuffle, which follow the number of their keys
+up to MOST_SLOTS bytes or MOST_BITS bits.
 
 Defined cases: NULL and empty texts have no shingles and link with nothing; fewer than five words are one shingle;
 rows with equal ids are one node, each with its own size (`one_of_each` keeps one of those with equal texts); a NULL id has no links and a NULL component; an empty table
@@ -25,6 +27,7 @@ gives an empty result; ties can't occur, as the least id names a component; furt
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from tallywing.llm import sketches
 from tallywing.llm.common import Scratch, rows_by_id
 from tallywing.llm.components import components
 from tallywing.llm.signature_tree import FANOUT, Tree, bitmaps, join_sets, least_overlap, traverse
-from tallywing.llm.spans import Texts, distinct_per_text, mix, shingles, steps
+from tallywing.llm.spans import STEP_BYTES, Texts, distinct_per_text, mix, shingles, steps
 
 K = 5
 SIMILAR = 75
@@ -46,14 +49,23 @@ HEADS = 4
 #: Documents in a block, about.
 BLOCK = 256
 
-#: A shingle is frequent if it is in this share of all documents.
-FREQUENT = 1 / 1000
+#: A shingle is frequent if steps that have it twice have it in this share of all documents.
+FREQUENT = 1 / 16_000
+
+#: A word is common if this share of all words are it.
+COMMON = 1 / 50_000
+
+#: Bytes of text, about, within which `summaries` counts words and shingles.
+COUNT_BYTES = 8 << 20
 
 #: Bits of the bitmaps that rows carry.
 SKETCH_BITS = 1024
 
 #: Blocks up to this size are one leaf, whose pairs are compared at once with those of other such blocks.
-LEAF = 16
+LEAF = 128
+
+#: Pairs whose bitmaps are compared at a time.
+PAIRS = 1 << 16
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -75,29 +87,24 @@ def _per_text(batches: Batches, make: Callable[[pa.RecordBatch, np.ndarray, np.n
             yield make(part, *sets_of(part.column("text"), k))
 
 
-def frequent(texts: DataFrame, k: int = K) -> np.ndarray:
-    """Ascending hashes of the shingles in at least FREQUENT of all documents, counted where a step sees one four times."""
-
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            for part in steps(batch, "text", 8 << 20):
-                values, _ = sets_of(part.column("text"), k)
-                values.sort()
-                where = np.flatnonzero(np.diff(values, prepend=values[:1] ^ np.uint64(1)) != 0) if len(values) else np.zeros(0, int)
-                counts = np.diff(np.append(where, len(values)))
-                much = counts >= 4
-                yield pa.record_batch([pa.array(values[where[much]].view(np.int64)), pa.array(counts[much])], ["key", "n"])
-
-    total = texts.count()
-    found = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = found.where(F.col("n") >= max(8, int(total * FREQUENT))).select("key").toArrow()
-    return np.sort(rows.column("key").to_numpy().view(np.uint64))
+def _counted(values: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Different values that occur `least` times or more, and how often."""
+    values = np.sort(values)
+    where = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
+    counts = np.diff(np.append(where, len(values)))
+    much = counts >= least
+    return values[where[much]].view(np.int64), counts[much]
 
 
 def summaries(texts: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, n, d1, d2, head): size, digest and smallest shingles of each set."""
+    """(doc_id, n, d1, d2, head, grams, gram_counts, words, word_counts): size, digest and smallest shingles of each set. Some
+    rows also have the shingles that are in several of the last COUNT_BYTES' sets and the common words there, with their counts.
+    """
 
-    def make(part: pa.RecordBatch, values: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    def make(part: pa.RecordBatch, seen: list[tuple[np.ndarray, np.ndarray]], last: bool) -> pa.RecordBatch:
+        words, at = Texts(part.column("text")).word_hashes()
+        values, _, first = distinct_per_text(*shingles(words, at, k))
+        seen.append((values, words))
         n = np.diff(first)
         some = n > 0
         digests = []
@@ -109,15 +116,75 @@ def summaries(texts: DataFrame, k: int = K) -> DataFrame:
         head = np.minimum(n, HEADS)
         at = np.concatenate([[0], np.cumsum(head)])
         index = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], head)
+        counted: list = [None] * 4
+        if last:
+            grams, words = (np.concatenate(x) for x in zip(*seen, strict=True))
+            counted = [*_counted(grams, 2), *_counted(words, max(4, len(words) * COMMON))]
+            seen.clear()
         return pa.record_batch(
-            [part.column("doc_id"), pa.array(n, pa.int64()), *digests, _lists(values[index], at)], ["doc_id", "n", "d1", "d2", "head"]
-        )
+            [
+                part.column("doc_id"), pa.array(n, pa.int64()), *digests, _lists(values[index], at),
+                *(pa.array([x, *[None] * (len(n) - 1)], pa.list_(pa.int64())) for x in counted),
+            ],
+            ["doc_id", "n", "d1", "d2", "head", "grams", "gram_counts", "words", "word_counts"],
+        )
 
-    return texts.mapInArrow(lambda b: _per_text(b, make, k), "doc_id long, n long, d1 long, d2 long, head array<long>")
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            parts = [*steps(batch, "text")]
+            for i, part in enumerate(parts, 1):
+                yield make(part, seen, i == len(parts) or i % (COUNT_BYTES // STEP_BYTES) == 0)
+
+    lists = ", ".join(f"{c} array<long>" for c in ("head", "grams", "gram_counts", "words", "word_counts"))
+    return texts.mapInArrow(run, f"doc_id long, n long, d1 long, d2 long, {lists}")
 
 
-def first_blocks(texts: DataFrame, levels: sketches.Levels, k: int = K) -> DataFrame:
-    """(key, salt, doc_id, text): each document once for every head that may be in different sets."""
+def _common(counts: DataFrame, keys: str, uses: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys whose counts come to `least` or more, and these."""
+    each = counts.where(f"{keys} is not null").select(F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(uses).alias("n"))).alias("x"))
+    rows = each.groupBy("x.key").agg(F.sum("x.n").alias("n")).where(F.col("n") >= least).toArrow()
+    return rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+
+
+@dataclass
+class Order:
+    """The order of shingles: a number whose upper byte is higher for commoner words and highest for frequent shingles, above the
+    upper 56 bits of the hash.
+    """
+
+    words: sketches.Levels
+    often: sketches.Levels
+
+    def keys(self, column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of each text in this order, and the first of each."""
+        words, at = Texts(column).word_hashes()
+        h, first = shingles(words, at, k)
+        weight = np.zeros(len(words) + 1, np.int64)
+        weight[1:] = self.words.at(words)
+        total = np.cumsum(weight)
+        n = np.diff(first)
+        start = np.arange(len(h)) - np.repeat(first[:-1] - at[:-1], n)
+        level = total[np.minimum(start + k, len(words))] - total[start]
+        level[np.repeat(np.diff(at) < k, n)] = 0
+        level = np.minimum(level, 254)
+        level[self.often.at(h) > 0] = 255
+        values, _, first = distinct_per_text((level.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8)), first)
+        return values, first
+
+
+def order_of(own: DataFrame, k: int = K) -> Order:
+    """The order that the counts of `summaries` give. It decides how much work is left for later steps, not what is found."""
+    total = own.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    words, uses = _common(own, "words", "word_counts", max(4, (total["n"] or 0) * COMMON))
+    # A doubling is two steps; k words come to 254 at most.
+    weights = np.minimum(1 + np.round(2 * np.log2(uses / uses.min())), 254 // k) if len(uses) else uses
+    often, _ = _common(own, "grams", "gram_counts", max(8, int(total["rows"] * FREQUENT)))
+    return Order(sketches.table_of(words, weights), sketches.table_of(often, np.ones(len(often))))
+
+
+def first_blocks(texts: DataFrame, levels: sketches.Levels, reps: sketches.Members, k: int = K) -> DataFrame:
+    """(key, salt, doc_id, text): each document that may stand for a class once for every head that may be in different sets."""
 
     def make(part: pa.RecordBatch, values: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
         n = np.minimum(np.diff(first), HEADS)
@@ -135,7 +202,12 @@ def first_blocks(texts: DataFrame, levels: sketches.Levels, k: int = K) -> DataF
             ["key", "salt", "doc_id", "text"],
         )
 
-    return texts.mapInArrow(lambda b: _per_text(b, make, k), "key long, salt long, doc_id long, text string")
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(-1).to_numpy()
+            yield from _per_text(iter([batch.filter(pa.array(reps.has(ids)))]), make, k)
+
+    return texts.where("doc_id is not null").mapInArrow(run, "key long, salt long, doc_id long, text string")
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -171,32 +243,30 @@ def link_blocks(blocks: DataFrame, similar: int, k: int = K) -> DataFrame:
     return blocks.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, "a long, b long")
 
 
-def prefixes(texts: DataFrame, often: np.ndarray, similar: int, k: int = K) -> DataFrame:
-    """(doc_id, n, prefix, sketch): the first shingles of each set, frequent ones last, and a bitmap of the set."""
+def prefixes(texts: DataFrame, order: Order, reps: sketches.Members, similar: int, k: int = K) -> DataFrame:
+    """(doc_id, n, prefix, sketch) of documents that may stand for a class: the first shingles of each set and a bitmap of the set."""
 
-    def make(part: pa.RecordBatch, values: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        values, first = order.keys(part.column("text"), k)
         n = np.diff(first)
-        last = np.zeros(len(values), bool)
-        if len(often):
-            last = often[np.minimum(np.searchsorted(often, values), len(often) - 1)] == values
-        text = np.repeat(np.arange(len(n)), n)
-        rare = np.concatenate([[0], np.cumsum(~last)])
-        before = rare[:-1] - rare[first[:-1]][text]  # rare shingles of the text before this one
-        place = np.where(last, rare[first[1:]][text] - rare[first[:-1]][text] + np.arange(len(values)) - first[:-1][text] - before, before)
-        ordered = np.empty_like(values)
-        ordered[first[:-1][text] + place] = values
         size = np.where(n > 0, n - -(-similar * n // 100) + 1, 0)
-        keep = np.arange(len(values)) - first[:-1][text] < size[text]
+        keep = np.arange(len(values)) - np.repeat(first[:-1], n) < np.repeat(size, n)
         sketch = bitmaps([values[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], SKETCH_BITS)
         return pa.record_batch(
             [
-                part.column("doc_id"), pa.array(n, pa.int64()), _lists(ordered[keep], np.concatenate([[0], np.cumsum(size)])),
+                part.column("doc_id"), pa.array(n, pa.int64()), _lists(values[keep], np.concatenate([[0], np.cumsum(size)])),
                 pa.array([row.tobytes() for row in sketch], pa.binary()),
             ],
             ["doc_id", "n", "prefix", "sketch"],
         )
 
-    return texts.mapInArrow(lambda b: _per_text(b, make, k), "doc_id long, n long, prefix array<long>, sketch binary")
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(-1).to_numpy()
+            for part in steps(batch.filter(pa.array(reps.has(ids))), "text"):
+                yield make(part)
+
+    return texts.where("doc_id is not null").mapInArrow(run, "doc_id long, n long, prefix array<long>, sketch binary")
 
 
 def postings(sets: DataFrame, meet: sketches.Members) -> DataFrame:
@@ -238,8 +308,8 @@ class _Rows:
     def __init__(self, batch: pa.RecordBatch):
         for c in self.FIELDS:
             setattr(self, c, batch.column(c).fill_null(0).to_numpy().astype(np.int64))
-        raw = b"".join(batch.column("sketch").to_pylist())
-        self.maps = np.frombuffer(raw, np.uint64).reshape(-1, SKETCH_BITS // 64)
+        raw, size = batch.column("sketch").cast(pa.binary(SKETCH_BITS // 8)), SKETCH_BITS // 8
+        self.maps = np.frombuffer(raw.buffers()[1], np.uint64, len(raw) * size // 8, raw.offset * size).reshape(-1, SKETCH_BITS // 64)
 
     def take(self, rows: np.ndarray | slice) -> _Rows:
         out = object.__new__(_Rows)
@@ -275,27 +345,32 @@ def _leaf_pairs(r: _Rows, starts: np.ndarray, sizes: np.ndarray, similar: int) -
     ok = most >= need
     a, b, need = a[ok], b[ok], need[ok]
     hidden = r.n - np.bitwise_count(r.maps).sum(axis=1, dtype=np.int64)
-    shared = np.bitwise_count(r.maps[a] & r.maps[b]).sum(axis=1, dtype=np.int64) + np.minimum(hidden[a], hidden[b])
+    shared = np.minimum(hidden[a], hidden[b])
+    for i in range(0, len(a), PAIRS):
+        shared[i : i + PAIRS] += np.bitwise_count(r.maps[a[i : i + PAIRS]] & r.maps[b[i : i + PAIRS]]).sum(axis=1, dtype=np.int64)
     return a[shared >= need], b[shared >= need]
 
 
 def _tree_pairs(r: _Rows, start: int, size: int, similar: int) -> tuple[np.ndarray, np.ndarray]:
     """The same for a larger block, by a walk over pairs of tree nodes."""
-    rows = start + np.argsort(r.n[start : start + size], kind="stable")
+    own = slice(start, start + size)
+    rows = start + np.lexsort((r.n[own], r.comp[own] == r.major[own]))
     comp = r.comp[rows]
     if (comp == comp[0]).all():
         return rows[:0], rows[:0]
     tree = Tree(r.maps[rows], r.n[rows])
-    ranges = [(comp, comp)]
+    # Parts but the first report no pair of minor components; nodes with rows of the largest one are marked.
+    ranges = [(comp, comp, (comp == r.major[rows]) | (r.salt[start] == 0))]
     while len(ranges) < len(tree.maps):
-        lo, hi = ranges[-1]
+        lo, hi, marked = ranges[-1]
         cuts = np.arange(0, len(lo), FANOUT)
-        ranges.append((np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts)))
+        ranges.append((np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts), np.logical_or.reduceat(marked, cuts)))
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def same(level: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        lo, hi = ranges[level]
-        return (lo[p] == hi[p])[:, None] & (lo[p][:, None] == lo[q][None, :]) & (lo[q] == hi[q])[None, :]
+        lo, hi, marked = ranges[level]
+        one = (lo[p] == hi[p])[:, None] & (lo[p][:, None] == lo[q][None, :]) & (lo[q] == hi[q])[None, :]
+        return one | ~(marked[p][:, None] | marked[q][None, :])
 
     traverse(tree, similar, same, lambda i, j: found.append((rows[i], rows[j])))
     a = np.concatenate([rows[:0], *(x for x, _ in found)])
@@ -367,19 +442,22 @@ def link_documents(docs: DataFrame, similar: int = SIMILAR, k: int = K) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own, _ = scratch.write(summaries(texts, k), "summaries")
     some = own.where("n > 0 and doc_id is not null")
-    classes, _ = scratch.write(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")), "classes")
+    ends = F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.any_value("head").alias("head")
+    classes, _ = scratch.write(some.groupBy("d1", "d2", "n").agg(*ends), "classes")
+    reps = sketches.members(classes.select(F.col("rep").alias("key")))
     copies = some.join(classes.where("rep != other"), ["d1", "d2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    heads = some.select(F.explode("head").alias("key"), "d1").groupBy("key").agg(
+    heads = classes.select(F.explode("head").alias("key"), "d1").groupBy("key").agg(
         F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count("*").alias("n")
     )
-    levels = sketches.levels(heads.where("lo != hi"))
-    links, links_path = scratch.write(link_blocks(first_blocks(texts, levels, k), similar, k), "links")
+    heads, heads_path = scratch.write(heads.where("lo != hi").select("key", "n"), "heads")
+    levels = sketches.levels(heads)
+    links, links_path = scratch.write(link_blocks(first_blocks(texts, levels, reps, k), similar, k), "links")
     copies, copies_path = scratch.write(copies.where("a != b"), "copies")
     groups, _ = scratch.write(components(links.union(copies), scratch), "groups")
 
     # From here on one document stands for its class.
-    reps = classes.select("rep").join(groups, F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-    sets = prefixes(texts, frequent(texts, k), similar, k).join(reps, F.col("doc_id") == F.col("rep")).drop("rep")
+    comps = classes.select("rep").join(groups, F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+    sets = prefixes(texts, order_of(own, k), reps, similar, k).join(comps, F.col("doc_id") == F.col("rep")).drop("rep")
     sets, sets_path = scratch.write(sets, "prefixes")
     meet = (
         sets.select("comp", F.explode("prefix").alias("key"))
@@ -396,7 +474,7 @@ def link_documents(docs: DataFrame, similar: int = SIMILAR, k: int = K) -> DataF
     more, _ = scratch.write(similar_pairs(pairs, texts, similar, k), "more")
     if not more.isEmpty():
         groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch)
-    scratch.drop(links_path, copies_path, pairs_path)
+    scratch.drop(heads_path, links_path, copies_path, pairs_path)
     return own.join(groups, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )

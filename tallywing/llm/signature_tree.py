@@ -38,11 +38,12 @@ def least_overlap(total: np.ndarray | int, similar: int) -> np.ndarray | int:
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     """One row of bits/64 words per set; an element's bit is given by its low bits."""
     out = np.zeros((len(sets), bits // 64), np.uint64)
-    if len(sets):
-        values = np.concatenate(sets)
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        bit = values & np.uint64(bits - 1)
-        np.bitwise_or.at(out, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    for i in range(0, len(sets), 256):
+        own = sets[i : i + 256]
+        row = np.repeat(np.arange(len(own)), [len(s) for s in own])
+        there = np.zeros((len(own), bits), np.uint8)
+        there[row, np.concatenate(own) & np.uint64(bits - 1)] = 1
+        out[i : i + 256] = np.packbits(there, axis=1, bitorder="little").view("<u8")
     return out
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallywing.llm import components, decontaminate, embeddings, jaccard, lines, lm, packing, pii, sharding, spans
+from tallywing.llm import components, decontaminate, embeddings, jaccard, lines, lm, packing, pii, sharding, sketches, spans
 from tallywing.llm.common import Scratch, table
 from tallywing.llm.queries import QUERIES
 from tallywing.llm.signature_tree import Groups, join_sets
@@ -125,6 +125,65 @@ def test_jaccard_second_blocks_alone_find_all_links(spark, monkeypatch):
     assert sorted(tuple(r) for r in jaccard.link_documents(docs).collect()) == expected
 
 
+def test_jaccard_orders_shingles_by_their_words(spark, monkeypatch):
+    """Unrelated texts share shingles of common words and a passage; these come last, so that few documents meet by them."""
+    rng = random.Random(8)
+    passage = " ".join(f"licence{i}" for i in range(20))
+    rows = []
+    for i in range(300):
+        ws = [rng.choice("the of and to".split()) if j % 40 < 24 else f"w{rng.randrange(50_000)}" for j in range(200)]
+        rows.append((i, " ".join(ws) + (" " + passage if i % 3 == 0 else "")))
+    rows.append((300, rows[7][1] + " end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    own = jaccard.summaries(docs)
+    order = jaccard.order_of(own)
+    reps = sketches.members(docs.select(F.col("doc_id").alias("key")))
+    prefixes = {r.doc_id: set(r.prefix) for r in jaccard.prefixes(docs, order, reps, 75).collect()}
+    met = Counter(k for p in prefixes.values() for k in p)
+    assert sum(c for c in met.values() if c > 1) < 1.1 * 2 * len(prefixes[7])
+    assert len(prefixes[7] & prefixes[300]) > 0.9 * len(prefixes[7])
+    sets = [shingle_set(t) for _, t in rows]
+    for leaf, block in ((128, 256), (2, 4)):
+        monkeypatch.setattr(jaccard, "LEAF", leaf)
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        got = sorted(tuple(r) for r in jaccard.link_documents(docs).collect())
+        assert got == [(i, len(x), 7 if i == 300 else i) for i, x in enumerate(sets)]
+
+
+def test_jaccard_trees_of_split_blocks_find_all_links(spark, monkeypatch):
+    """Blocks in several parts, walked as trees: pairs of minor components come from the first part only, and none is lost."""
+    rng = random.Random(9)
+    rows = []
+    for f in range(6):
+        body = [f"f{f}w{i}" for i in range(60)]
+        for _ in range(14):
+            rows.append((len(rows), " ".join(w if rng.random() > 0.025 else f"x{rng.random()}" for w in body)))
+    sets, n = [shingle_set(t) for _, t in rows], len(rows)
+    want = Groups(np.arange(n))
+    for i in range(n):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                want.join(i, j)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = [(i, len(sets[i]), want.find(i)) for i in range(n)]
+    # The first blocks link half of the documents, so that blocks have a largest component and others.
+    was = jaccard.link_blocks
+    monkeypatch.setattr(jaccard, "link_blocks", lambda blocks, similar, k: was(blocks, similar, k).where("a % 4 < 2 and b % 4 < 2"))
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    for leaf in (128, 2):
+        monkeypatch.setattr(jaccard, "LEAF", leaf)
+        assert sorted(tuple(r) for r in jaccard.link_documents(docs).collect()) == expected
+
+
+def test_tables_follow_the_number_of_their_keys(spark):
+    """A table of many keys lets through few others."""
+    rng = np.random.default_rng(4)
+    keys, others = rng.integers(0, 1 << 62, 400_000), rng.integers(0, 1 << 62, 100_000)
+    levels = sketches.levels(spark.createDataFrame(pa.table({"key": keys, "n": np.full(len(keys), 2)})))
+    assert (levels.at(keys) == 2).all()
+    assert (levels.at(others) > 0).mean() < 1 / 12
+
+
 def test_decontamination_looks_at_all_starts(spark):
     """Every window against every item, also where parts of the item have changed places."""
     rng = random.Random(6)
